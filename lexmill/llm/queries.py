@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import mixing
+from lexmill.llm import exact_dedup, mixing
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -21,15 +21,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }
