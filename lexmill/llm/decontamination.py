@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import settle, whole_text
 
-UNIT, BLOCK = 64, 8
+UNIT, BLOCK = 64, 4
 K1, B = 1.2, 0.75
 #: Least BM25 score of a passage for a unit, as a share of the unit's score for itself.
 THRESHOLD = 0.6
@@ -46,17 +46,24 @@ SHARD_UNITS, SHARDS_AT_ONCE = 1024, 8
 #: Characters of documents and (passage, term) pairs held in arrays at once.
 HELD_CHARS, HELD_PAIRS = 4_000_000, 100_000
 
-_WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
+#: Latin-1 signs, general and CJK punctuation, full-width signs: none of them is part of a word.
+_SIGNS = re.compile("[\u0080-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]")
+_LEADS = (b"\xc2", b"\xc3\x97", b"\xc3\xb7", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbc")
+_ASCII = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased runs of anything but ASCII signs, blanks and the signs above, as UTF-8."""
+    raw = text.lower().encode("utf-8", "replace")
+    if any(lead in raw for lead in _LEADS):
+        raw = _SIGNS.sub(" ", raw.decode("utf-8")).encode("utf-8")
+    return raw.translate(_ASCII).split()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """The words of an item's question and of its answer."""
-    sentences = [s for s in _SENTENCE.split(text) if _WORD.search(s)]
+    sentences = [s for s in _SENTENCE.split(text) if words_of(s)]
     if len(sentences) > 1:
         return words_of(" ".join(sentences[:-1])), words_of(sentences[-1])
     words = words_of(text)
@@ -64,11 +71,11 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
+def grams(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(n)), strict=False))
 
 
-def share(part: list[str], region: dict[int, set[tuple[str, ...]]]) -> float:
+def share(part: list[bytes], region: dict[int, set[tuple[bytes, ...]]]) -> float:
     """The share of a part's word n-grams (n: 3, or its length) found in a region."""
     if not part:
         return 1.0
@@ -135,30 +142,35 @@ class Index:
 
     def __init__(self, rows: list, items: dict[int, str]):
         """``rows``: (shard, unit, item_id, term, weight)."""
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         by: dict[int, list[tuple[int, int, int, float]]] = defaultdict(list)
         for shard, unit, item, term, weight in rows:
             by[shard].append((unit, item, self.vocabulary.setdefault(term, len(self.vocabulary)), weight))
         self.shards = [Shard(p, items) for p in by.values()]
 
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of a text's words in order; -1 outside the vocabulary."""
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+
     def find(self, texts: list[str], threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[dict[int, tuple[float, float, float, int]]]:
         """For each text: item -> (score, question overlap, answer overlap, first word of the passage)."""
-        get, size = self.vocabulary.get, len(self.vocabulary)
-        all_words = [words_of(t) for t in texts]
-        counts = [max(1, -(-len(w) // UNIT) - 1) for w in all_words]  # windows of each text
+        size = len(self.vocabulary)
+        numbers = [self.numbers(t) for t in texts]
+        counts = [max(1, -(-len(w) // UNIT) - 1) for w in numbers]  # windows of each text
         base = np.concatenate([[0], np.cumsum(counts)])
         keys = []
-        for i, words in enumerate(all_words):
-            ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        for i, ids in enumerate(numbers):
             place = np.flatnonzero(ids >= 0)
             step, ids = place // UNIT, ids[place]
             for w in (step - 1, step):
                 inside = (w >= 0) & (w < counts[i])
                 keys.append((base[i] + w[inside]) * size + ids[inside])
         found: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in texts]
-        pairs = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        pairs = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
         if not len(pairs):
             return found
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         window, term = pairs // size, pairs % size
         for shard in self.shards:
             for w, item, value in shard.search(window, term, threshold):
@@ -166,7 +178,7 @@ class Index:
                 first = (w - int(base[i])) * UNIT
                 parts = shard.parts[item]
                 reach = sum(map(len, parts))
-                near = all_words[i][max(0, first - reach) : first + 2 * UNIT + reach]
+                near = words_of(texts[i])[max(0, first - reach) : first + 2 * UNIT + reach]
                 region = {n: grams(near, n) for n in (1, 2, 3)}
                 q, a = (share(p, region) for p in parts)
                 if q >= question and a >= answer and (item not in found[i] or value > found[i][item][0]):
@@ -189,10 +201,10 @@ def postings(benchmark: DataFrame) -> DataFrame:
                         for name, value in (("item_id", item), ("part", k), ("term", term), ("tf", own.count(term)), ("len", len(own))):
                             out[name].append(value)
             if out:
-                yield pa.RecordBatch.from_pydict(dict(out), schema=pa.schema([("item_id", pa.int64()), ("part", pa.int32()), ("term", pa.string()), ("tf", pa.int32()), ("len", pa.int32())]))
+                yield pa.RecordBatch.from_pydict(dict(out), schema=pa.schema([("item_id", pa.int64()), ("part", pa.int32()), ("term", pa.binary()), ("tf", pa.int32()), ("len", pa.int32())]))
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
-    terms = settle(rows.dropDuplicates().mapInArrow(cut, "item_id long, part int, term string, tf int, len int"))
+    terms = settle(rows.dropDuplicates().mapInArrow(cut, "item_id long, part int, term binary, tf int, len int"))
     units = terms.select("item_id", "part", "len").distinct()
     n, mean = units.agg(F.count("*"), F.avg("len")).first()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -213,7 +225,7 @@ def passes(benchmark: DataFrame) -> Iterator[Index]:
     texts = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).withColumn("shard", shard)
     for first in range(0, shards, SHARDS_AT_ONCE):
         held = F.col("shard").between(first, first + SHARDS_AT_ONCE - 1)
-        rows = [(r["shard"], (r["item_id"], r["part"]), r["item_id"], r["term"], r["weight"]) for r in weights.where(held).toLocalIterator()]
+        rows = [(r["shard"], (r["item_id"], r["part"]), r["item_id"], bytes(r["term"]), r["weight"]) for r in weights.where(held).toLocalIterator()]
         yield Index(rows, {r["item_id"]: r["text"] for r in texts.where(held).toLocalIterator()})
 
 
