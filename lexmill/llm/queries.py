@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontamination, exact_dedup, mixing, quality, simhash
+from lexmill.llm import decontamination, exact_dedup, mixing, quality, secrets, simhash
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -42,6 +42,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
