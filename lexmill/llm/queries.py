@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontamination, exact_dedup, mixing, quality, secrets, simhash
+from lexmill.llm import decontamination, exact_dedup, mixing, quality, secrets, simhash, url_filters
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -33,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
