@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontamination, exact_dedup, mixing, quality, secrets, simhash, url_filters
+from lexmill.llm import decontamination, exact_dedup, lm_scoring, mixing, quality, secrets, simhash, url_filters
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -42,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_fold(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
 }
