@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontamination, exact_dedup, lm_scoring, mixing, quality, secrets, simhash, url_filters
+from lexmill.llm import chat_format, decontamination, exact_dedup, lm_scoring, mixing, quality, secrets, simhash, url_filters
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -21,6 +21,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.format_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }
