@@ -133,7 +133,7 @@ def gov_metadata(spark, sf):
     f"""WITH {GOV} SELECT doc_id, title IS NOT NULL AND (number IS NOT NULL OR authority IS NOT NULL) AS gov_document,
     round_even(CAST(least(CASE WHEN title IS NOT NULL THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN number IS NOT NULL THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN authority IS NOT NULL THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
     + CASE WHEN d THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN coalesce(type <> 'other', false) THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN topics <> '' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE) AS DOUBLE), 2) AS confidence
-    FROM (SELECT f.*, cn_date IS NOT NULL OR CAST(doc_id % 6 AS INT) IN (1, 3) AS d FROM f)"""
+    FROM (SELECT f.*, cn_date IS NOT NULL OR doc_id % 6 = 3 AS d FROM f)"""
 )
 def gov_confidence(spark, sf):
     df = table(spark, sf, "documents").selectExpr("doc_id", f"{compose()} AS md", f"{NAME.replace('VARCHAR', 'STRING')} AS file_name")
