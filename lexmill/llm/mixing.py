@@ -105,11 +105,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with ``copy`` from 1."""
     _, rates = plan_mix(docs, weights, share, cap)
-    kept = [F.col(f"d.{c}") for c in docs.columns if c != "copy"]
-    keyed = docs.withColumn("mix_key", _key("source")).alias("d")
-    rates = rates.select("key", "base", "frac", "seed").alias("r")
-    taken = keyed.join(rates, F.col("d.mix_key") == F.col("r.key"))
-    taken = taken.withColumn("mix_n", copies(F.col("d.doc_id"), "r.").cast("int"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"))
+    keyed = whole.withColumn("mix_key", _key("mix_doc.source"))
+    rates = rates.select(F.col("key").alias("mix_key"), F.struct("base", "frac", "seed").alias("mix_rate"))
+    taken = keyed.join(rates, "mix_key").withColumn("mix_n", copies(F.col("mix_doc.doc_id"), "mix_rate.").cast("int"))
+    kept = [F.col(f"mix_doc.`{c}`") for c in docs.columns if c != "copy"]
     return taken.where("mix_n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy"))
 
 

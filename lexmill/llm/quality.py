@@ -138,11 +138,11 @@ def fit(labelled: DataFrame, width: int, to_pooled: float = TO_POOLED, to_identi
 
 def score(rows: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
     """``rows`` (doc_id, x, ...) as (doc_id, score, predicted)."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind, width = rows.schema["doc_id"].dataType.simpleString(), len(statistics(F.lit("")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
 
     out = rows.select("doc_id", "x").mapInArrow(work, f"doc_id {kind}, score double")

@@ -228,9 +228,9 @@ def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2) -> Data
 
     Rows that share that doc_id all stay; rows without a doc_id stay too, as nothing names them.
     """
-    groups = near_groups(docs.where("doc_id is not null"), words=words, distance=distance)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    groups = near_groups(docs.where("doc_id is not null").select("doc_id", "text"), words=words, distance=distance)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
