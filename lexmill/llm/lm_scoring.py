@@ -13,8 +13,8 @@ and the parameters are averaged with the partitions' token counts as weights, pr
 common start is one such step on the tokens of a bounded sample (``WARM`` documents by hash, the first
 ``WARM_WORDS`` words of each); it fixes the axes so that averaging makes sense, and no more.
 
-Counts of all words never meet in one place: the ``HEAD`` most frequent words (of at most ``LONG``
-bytes, so the size is bounded) go to the workers, the others are joined by word.
+Counts of all words never meet in one place: the most frequent words (``HEAD`` at most, of at most
+``LONG`` bytes, so the size is bounded) go to the workers, the others are joined by word.
 
 Edge cases: null text counts as empty, which is one end token; without training documents base and
 score are those of the uniform start (0); repeated rows are scored each; an empty table gives an empty
@@ -39,7 +39,9 @@ SINGLES, CLASSES, WIDTH = 400, 367, 16
 UNITS = SINGLES + CLASSES + 1
 END = UNITS - 1
 HEAD, LONG = 131_072, 256
-NOISE, BATCH, RATE = 20, 8192, 0.1
+#: Steps of count per doubling; the head ends at a step, so that it is found without sorting all words.
+STEPS = 64
+NOISE, BATCH, RATE = 20, 2048, 0.1
 WARM, WARM_WORDS = 2000, 2000
 #: Words of text counted or scored at once.
 HELD_BYTES = 8 << 20
@@ -214,7 +216,14 @@ def _class(word: Column) -> Column:
 
 
 def build_lexicon(counts: DataFrame, documents: int) -> Lexicon:
-    head = [(bytes(r["word"]), r["n"]) for r in counts.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    short = counts.where(F.length("word") <= LONG).withColumn("step", F.floor(F.log2("n") * STEPS))
+    held, cut = 0, 0
+    for r in short.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 64 * STEPS rows
+        if (held := held + r["count"]) > HEAD:
+            cut = r["step"] + 1
+            break
+    head = [(bytes(r["word"]), r["n"]) for r in short.where(F.col("step") >= cut).select("word", "n").collect()]
+    head.sort(key=lambda x: (-x[1], x[0]))
     totals = counts.groupBy(_class(F.col("word")).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     words, types = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in totals:
