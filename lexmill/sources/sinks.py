@@ -44,8 +44,8 @@ def package_files(docs: DataFrame, mode: str = "SingleMd") -> DataFrame:
     bom = F.concat(F.unhex(F.lit("EFBBBF")), F.col("markdown").cast("binary"))
     files = [one(F.concat("stem", F.lit(".md")), bom)] if single else [
         one(F.lit("document.md"), bom),
-        one(F.concat("stem", F.lit(".meta.json")), F.col("meta_json").cast("binary")),
-        one(F.concat("stem", F.lit(".quality_report.json")), F.col("quality_json").cast("binary")),
+        one(F.lit(".meta.json"), F.col("meta_json").cast("binary")),
+        one(F.lit(".quality_report.json"), F.col("quality_json").cast("binary")),
     ]
     assets = F.transform("assets", lambda a: F.struct(F.concat(base, F.lit("assets/"), a["name"]).alias("path"), a["data"].alias("data")))
     tables = F.transform("tables", lambda t: F.struct(F.concat(base, F.lit("tables/"), t["name"]).alias("path"), t["csv"].cast("binary").alias("data")))
