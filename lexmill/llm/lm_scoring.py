@@ -10,8 +10,8 @@ contexts are one table, made once by batched matrix products; token log-probabil
 Training covers every training document: word counts are aggregated in Spark (a row for each word and
 Arrow batch before the shuffle); then each partition trains on all its own tokens from a common start,
 and the parameters are averaged with the partitions' token counts as weights, pre-aggregated.  The
-common start is one such step on the tokens of a bounded sample (``WARM`` documents by hash, the first
-``WARM_WORDS`` words of each); it fixes the axes so that averaging makes sense, and no more.
+common start is one such step on a bounded sample (some ``WARM`` rows drawn with a fixed seed, the first
+``WARM_CHARS`` characters of each); it fixes the axes so that averaging makes sense, and no more.
 
 Counts of all words never meet in one place: the most frequent words (``HEAD`` at most, of at most
 ``LONG`` bytes, so the size is bounded) go to the workers, the others are joined by word.
@@ -42,7 +42,7 @@ HEAD, LONG = 131_072, 256
 #: Steps of count per doubling; the head ends at a step, so that it is found without sorting all words.
 STEPS = 64
 NOISE, BATCH, RATE = 20, 2048, 0.1
-WARM, WARM_WORDS = 2000, 2000
+WARM, WARM_CHARS = 2000, 12_000
 #: Words of text counted or scored at once.
 HELD_BYTES = 8 << 20
 
@@ -239,12 +239,14 @@ def build_lexicon(counts: DataFrame, documents: int) -> Lexicon:
 _ORDER = ("r", "q", "c1", "c2", "b")
 
 
-def train(texts: DataFrame, lexicon: Lexicon) -> Parameters:
+def train(texts: DataFrame, lexicon: Lexicon, documents: int) -> Parameters:
     """Parameters averaged over the partitions' own, each trained on all tokens of its rows (text)."""
     spark = texts.sparkSession
     first = start(lexicon.share)
-    warm = texts.select(F.substring_index(F.decode("text", "UTF-8"), " ", WARM_WORDS).alias("t"), F.xxhash64("text").alias("h")).orderBy("h").limit(WARM)
-    warm = [lexicon.encode(r["t"].encode())[1] for r in warm.collect()]
+    # drawn row by row, so that a text repeated in many rows can't swell the sample
+    drawn = texts.where(F.rand(7) < F.lit(WARM / max(1, documents)))
+    cut = F.substring(F.decode("text", "UTF-8"), 1, WARM_CHARS)
+    warm = [lexicon.encode(r["t"].encode())[1] for r in drawn.select(cut.alias("t")).collect()]  # about WARM rows
     trainer = Trainer(first, lexicon.share)
     trainer.learn(warm)
     sent = spark.sparkContext.broadcast((lexicon, trainer.p))
@@ -282,7 +284,7 @@ def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", tex
     counts = settle(word_counts(texts))
     documents = texts.count()
     lexicon = build_lexicon(counts, documents)
-    model = Model(lexicon, train(texts, lexicon) if documents else start(lexicon.share))
+    model = Model(lexicon, train(texts, lexicon, documents) if documents else start(lexicon.share))
     sent = spark.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
 
