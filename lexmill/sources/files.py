@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,6 @@ def is_utf8(content: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """UTF-8 (a byte-order mark goes) or, where the bytes are not valid, GB18030 through an Arrow function."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def gb18030(b: pd.Series) -> pd.Series:
