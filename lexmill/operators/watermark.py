@@ -6,6 +6,8 @@ on one row, so a document is never moved.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,26 +78,45 @@ def _front_pass(md: Column, earlier: Column) -> Column:
             F.when(found.isNotNull(), F.concat(s["types"], F.array(found))).otherwise(s["types"]).alias("types"),
         )
 
-    folded = F.aggregate(F.split(body, "\n", -1), state, step)
-    new = trimmed(F.array_join(folded["kept"], "\n"))
-    made = F.when(new == "", F.regexp_replace(rest, r"\A\n", "")).otherwise(F.concat(F.lit("---\n"), new, F.lit("\n---"), rest))
     looks = md.rlike(FRONT) & (body.contains("AIGC:") | body.rlike(RESIDUAL))
-    acts = looks & ((F.size(folded["types"]) > 0) | earlier)
-    return F.struct(
-        F.when(acts, made).otherwise(md).alias("md"), F.when(looks, folded["types"]).otherwise(F.array().cast("array<string>")).alias("types"), acts.alias("acts")
-    )
+
+    def result(folded: Column) -> Column:
+        new = trimmed(F.array_join(folded["kept"], "\n"))
+        made = F.when(new == "", F.regexp_replace(rest, r"\A\n", "")).otherwise(F.concat(F.lit("---\n"), new, F.lit("\n---"), rest))
+        acts = looks & ((F.size(folded["types"]) > 0) | earlier)
+        return F.struct(
+            F.when(acts, made).otherwise(md).alias("md"), F.when(looks, folded["types"]).otherwise(F.array().cast("array<string>")).alias("types"), acts.alias("acts")
+        )
+
+    return _let(F.aggregate(F.split(body, "\n", -1), state, step), result)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written, and computed, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _front_passes(md: Column, passes: int) -> Column:
+    """struct(md, n, types) after looking again while the length changes, ``passes`` times at most."""
+    state = F.struct(md.alias("md"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("types"), F.lit(True).alias("go"))
+
+    def again(s: Column, _: Column) -> Column:
+        def taken(f: Column) -> Column:
+            return F.struct(
+                f["md"].alias("md"), (s["n"] + f["acts"].cast("int")).alias("n"), F.concat(s["types"], f["types"]).alias("types"), (F.length(f["md"]) != F.length(s["md"])).alias("go")
+            )
+
+        return F.when(s["go"], _let(_front_pass(s["md"], F.size(s["types"]) > 0), taken)).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), state, again)
 
 
 def clean(df: DataFrame, md: str = "md", passes: int = 5) -> DataFrame:
     """``df`` with clean_md, has_watermark, removed_blocks and detected_types (repeats kept)."""
-    df = df.withColumn("_in", F.coalesce(F.col(md), F.lit(""))).withColumn("_md", F.col("_in"))
-    df = df.withColumn("_n", F.lit(0)).withColumn("_types", F.array().cast("array<string>")).withColumn("_go", F.lit(True))
-    for _ in range(passes):
-        df = df.withColumn("_f", F.when(F.col("_go") & F.col("_md").startswith("---"), _front_pass(F.col("_md"), F.size("_types") > 0)))
-        df = df.withColumn("_go", F.coalesce(F.length("_f.md") != F.length("_md"), F.lit(False)))
-        df = df.withColumn("_n", F.col("_n") + F.coalesce(F.col("_f.acts").cast("int"), F.lit(0)))
-        df = df.withColumn("_types", F.concat("_types", F.coalesce("_f.types", F.array().cast("array<string>"))))
-        df = df.withColumn("_md", F.coalesce("_f.md", "_md")).drop("_f")
+    df = df.withColumn("_in", F.coalesce(F.col(md), F.lit("")))
+    untouched = F.struct(F.col("_in").alias("md"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("types"), F.lit(True).alias("go"))
+    df = df.withColumn("_f", F.when(F.col("_in").startswith("---"), _front_passes(F.col("_in"), passes)).otherwise(untouched))
+    df = df.withColumn("_md", F.col("_f.md")).withColumn("_n", F.col("_f.n")).withColumn("_types", F.col("_f.types")).drop("_f")
     for step in STEPS:
         if step is None:
             df = df.withColumn("_md", squeeze_newlines(F.col("_md")))
@@ -112,7 +133,7 @@ def clean(df: DataFrame, md: str = "md", passes: int = 5) -> DataFrame:
     df = df.withColumn("clean_md", F.when(blank, F.col(md)).otherwise(F.col("_md")))
     df = df.withColumn("removed_blocks", F.when(blank, F.lit(0)).otherwise(F.col("_n"))).withColumn("has_watermark", F.col("removed_blocks") > 0)
     df = df.withColumn("detected_types", F.when(blank, F.array().cast("array<string>")).otherwise(F.col("_types")))
-    return df.drop("_in", "_md", "_n", "_types", "_go", "_zw")
+    return df.drop("_in", "_md", "_n", "_types", "_zw")
 
 
 def _remove(df: DataFrame, kind: str, pattern: str, where: Column, squeeze: bool = False) -> DataFrame:
