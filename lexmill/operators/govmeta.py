@@ -61,9 +61,13 @@ def _cleaned(title: Column) -> Column:
     return F.when(new == "", title).otherwise(new)
 
 
-def title(md: Column, name: Column) -> Column:
-    heading = F.get(F.filter(F.transform(F.split(md, "\n"), trimmed_start), lambda x: x.startswith("# ")), F.lit(0))
-    first, stem = trimmed(F.substring(heading, 3, 1 << 30)), file_stem(F.coalesce(name, F.lit("")))
+def first_heading(md: Column) -> Column:
+    """The text of the first line that is a heading of level one, or null."""
+    line = F.get(F.filter(F.split(md, "\n"), lambda x: trimmed_start(x).startswith("# ")), F.lit(0))
+    return trimmed(F.substring(trimmed_start(line), 3, 1 << 30))
+
+
+def title(first: Column, stem: Column) -> Column:
     return F.when(F.coalesce(_valid(first), F.lit(False)), _cleaned(first)).when(_valid(stem), _cleaned(stem))
 
 
@@ -77,7 +81,8 @@ def issuing_authority(md: Column) -> Column:
     ranked = F.array(*[F.lit(w) for w in sorted(AUTHORITIES, key=lambda w: -len(w))])
 
     def best(area: Column) -> Column:
-        return F.get(F.filter(ranked, lambda k: F.contains(area, k)), F.lit(0))
+        # the area is cut once, not for each keyword
+        return F.get(F.transform(F.array(area), lambda a: F.get(F.filter(ranked, lambda k: F.contains(a, k)), F.lit(0))), F.lit(0))
 
     tail = F.when(F.length(md) > 2000, best(F.substring(md, -1000, 1000)))
     return F.coalesce(best(F.substring(md, 1, 500)), best(F.substring(md, 1, 2000)), tail)
@@ -116,17 +121,19 @@ def document_type(name: Column) -> Column:
     return F.when(name.isNotNull(), out)
 
 
-def subject_topics(name: Column, md: Column) -> Column:
-    area = F.concat(F.coalesce(name, F.lit("")), F.lit("\n"), F.substring(md, 1, 3000))
+def subject_topics(area: Column) -> Column:
     return F.filter(F.array(*[F.when(contains_any(area, words), F.lit(t)) for t, words in TOPICS]), lambda x: x.isNotNull())
 
 
 def extract(df: DataFrame, md: str = "md", name: str = "file_name", latest: int = 2100) -> DataFrame:
     """``df`` with the gov_* columns; ``latest``: the last plausible year (the current one in a live run)."""
     text = F.coalesce(F.col(md), F.lit(""))
-    df = df.withColumn("gov_title", title(text, F.col(name))).withColumn("gov_number", document_number(text))
+    df = df.withColumn("_first", first_heading(text)).withColumn("_stem", file_stem(F.coalesce(F.col(name), F.lit(""))))
+    df = df.withColumn("gov_title", title(F.col("_first"), F.col("_stem"))).drop("_first", "_stem")
+    df = df.withColumn("_area", F.concat(F.coalesce("gov_title", F.lit("")), F.lit("\n"), F.substring(text, 1, 3000)))
+    df = df.withColumn("gov_number", document_number(text))
     df = df.withColumn("gov_authority", issuing_authority(text)).withColumn("gov_date", publish_date(text, latest))
-    df = df.withColumn("gov_type", document_type(F.col("gov_title"))).withColumn("gov_topics", subject_topics(F.col("gov_title"), text))
+    df = df.withColumn("gov_type", document_type(F.col("gov_title"))).withColumn("gov_topics", subject_topics(F.col("_area"))).drop("_area")
     one = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
     score = one(F.col("gov_title").isNotNull(), 0.3) + one(F.col("gov_number").isNotNull(), 0.25) + one(F.col("gov_authority").isNotNull(), 0.2)
     score = score + one(F.col("gov_date").isNotNull(), 0.1) + one(F.coalesce(F.col("gov_type") != "other", F.lit(False)), 0.1) + one(F.size("gov_topics") > 0, 0.05)
