@@ -7,11 +7,11 @@ probability of a word is the model's of its unit times the word's smoothed share
 words, unseen ones too, share a total of one.  Contexts are pairs of units, so the normalisers of all
 contexts are one table, made once by batched matrix products; token log-probabilities are normalised.
 
-Training covers every training document: word counts are aggregated in Spark (a row for each word and
-Arrow batch before the shuffle); then each partition trains on all its own tokens from a common start,
-and the parameters are averaged with the partitions' token counts as weights, pre-aggregated.  The
-common start is one such step on a bounded sample (some ``WARM`` rows drawn with a fixed seed, the first
-``WARM_CHARS`` characters of each); it fixes the axes so that averaging makes sense, and no more.
+Training covers every token of every training document, ``ROUNDS`` times: word counts are aggregated in
+Spark (a row for each word and Arrow batch before the shuffle) and texts are written as units once; in
+each round every partition trains on all its own tokens from the round's common start, and parameters and
+Adagrad sums are averaged with the partitions' token counts as weights, pre-aggregated, as the next
+round's start.  The first start is drawn with a fixed seed, without data.
 
 Counts of all words never meet in one place: the most frequent words (``HEAD`` at most, of at most
 ``LONG`` bytes, so the size is bounded) go to the workers, the others are joined by word.
@@ -42,9 +42,9 @@ HEAD, LONG = 131_072, 256
 #: Steps of count per doubling; the head ends at a step, so that it is found without sorting all words.
 STEPS = 64
 NOISE, BATCH, RATE = 20, 2048, 0.1
-WARM, WARM_CHARS = 2000, 12_000
-#: Words of text counted or scored at once.
-HELD_BYTES = 8 << 20
+ROUNDS = 3
+#: Words of text counted or scored at once, and units learned at once.
+HELD_BYTES, HELD_UNITS = 8 << 20, 1 << 20
 
 Parameters = dict[str, np.ndarray]
 
@@ -101,9 +101,9 @@ def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trainer:
     """Noise-contrastive estimation by Adagrad over batches of (h2, h1, target) units."""
 
-    def __init__(self, p: Parameters, share: np.ndarray, rate: float = RATE, seed: int = 11):
+    def __init__(self, p: Parameters, share: np.ndarray, rate: float = RATE, seed: int = 11, seen: Parameters | None = None):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.seen = {k: np.full(v.shape, 0.1, np.float32) for k, v in p.items()}
+        self.seen = {k: seen[k].copy() if seen else np.full(v.shape, 0.1, np.float32) for k, v in p.items()}
         self.log_noise = np.log(NOISE * share).astype(np.float32)
         self.edges = np.cumsum(share)
         self.random, self.rate, self.tokens = np.random.default_rng(seed), rate, 0
@@ -239,41 +239,58 @@ def build_lexicon(counts: DataFrame, documents: int) -> Lexicon:
 _ORDER = ("r", "q", "c1", "c2", "b")
 
 
-def train(texts: DataFrame, lexicon: Lexicon, documents: int) -> Parameters:
-    """Parameters averaged over the partitions' own, each trained on all tokens of its rows (text)."""
-    spark = texts.sparkSession
-    first = start(lexicon.share)
-    # drawn row by row, so that a text repeated in many rows can't swell the sample
-    drawn = texts.where(F.rand(7) < F.lit(WARM / max(1, documents)))
-    cut = F.substring(F.decode("text", "UTF-8"), 1, WARM_CHARS)
-    warm = [lexicon.encode(r["t"].encode())[1] for r in drawn.select(cut.alias("t")).collect()]  # about WARM rows
-    trainer = Trainer(first, lexicon.share)
-    trainer.learn(warm)
-    sent = spark.sparkContext.broadcast((lexicon, trainer.p))
+def encoded(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(units) of every row of ``texts`` (text binary); a written table."""
+    sent = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, p = sent.value
-        own, held, size = Trainer(p, lexicon.share, RATE / 2), [], 0
         for batch in batches:
-            for text in _texts(batch, 0):
-                held.append(lexicon.encode(text)[1])
-                size += len(text)
-                if size >= HELD_BYTES:
+            found = [sent.value.encode(t)[1].astype(np.int16) for t in _texts(batch, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int16()))], ["units"])
+
+    return settle(texts.select("text").mapInArrow(work, "units array<smallint>"))
+
+
+def train_round(units: DataFrame, share: np.ndarray, p: Parameters, seen: Parameters | None, seed: int) -> tuple[Parameters, Parameters]:
+    """Parameters and Adagrad sums averaged over the partitions' own, each trained on all tokens of its rows."""
+    sent = units.sparkSession.sparkContext.broadcast((share, p, seen))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, p, seen = sent.value
+        own, held, size = Trainer(p, share, RATE, seed, seen), [], 0
+        for batch in batches:
+            column = batch.column(0)
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            for first, last in zip(ends[:-1], ends[1:], strict=True):
+                held.append(flat[first:last])
+                size += last - first
+                if size >= HELD_UNITS:
                     own.learn(held)
                     held, size = [], 0
         own.learn(held)
         if own.tokens:
-            flat = np.concatenate([own.p[k].ravel() for k in _ORDER] + [np.ones(1, np.float32)]).astype(np.float64) * own.tokens
+            flat = np.concatenate([part[k].ravel() for part in (own.p, own.seen) for k in _ORDER] + [np.ones(1, np.float32)]).astype(np.float64) * own.tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["at", "value"])
 
-    sums = texts.select("text").mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # the model's size
+    sums = units.mapInArrow(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # twice the model's size
     flat = np.empty(len(sums))
     flat[sums["at"]] = sums["value"]
-    flat, out, place = (flat / flat[-1]).astype(np.float32), {}, 0
-    for k in _ORDER:
-        out[k] = flat[place : place + first[k].size].reshape(first[k].shape)
-        place += first[k].size
-    return out
+    flat, out, place = (flat / flat[-1]).astype(np.float32), [], 0
+    for _ in range(2):
+        part = {}
+        for k in _ORDER:
+            part[k] = flat[place : place + p[k].size].reshape(p[k].shape)
+            place += p[k].size
+        out.append(part)
+    return out[0], out[1]
+
+
+def train(texts: DataFrame, lexicon: Lexicon) -> Parameters:
+    """The parameters after ``ROUNDS`` averaged rounds over all tokens of ``texts`` (text)."""
+    units, p, seen = encoded(texts, lexicon), start(lexicon.share), None
+    for k in range(ROUNDS):
+        p, seen = train_round(units, lexicon.share, p, seen, 11 + k)
+    return p
 
 
 def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +301,7 @@ def score_documents(docs: DataFrame, learns: Column, id_col: str = "doc_id", tex
     counts = settle(word_counts(texts))
     documents = texts.count()
     lexicon = build_lexicon(counts, documents)
-    model = Model(lexicon, train(texts, lexicon, documents) if documents else start(lexicon.share))
+    model = Model(lexicon, train(texts, lexicon) if documents else start(lexicon.share))
     sent = spark.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
 
