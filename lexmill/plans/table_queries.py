@@ -9,7 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import batch, compliance, docx, layout, semantic, sheets, slides, word
 from lexmill.plans.documents import process
 from lexmill.plans.registry import query, table
-from lexmill.plans.text_queries import BLOCKS, COMPOSED, LINES, composed  # noqa: F401
+from lexmill.plans.text_queries import BLOCKS, LINES, composed  # noqa: F401
 from lexmill.sources import files
 
 # ---- sheets: nation (25 rows), supplier and part (more than a preview) -----------------------
@@ -146,7 +146,7 @@ def inline_clean(spark, sf):
 
 @query(None)
 def inline_runs(spark, sf):
-    runs = table(spark, sf, "documents").where(F.col("text").contains("**")).select("doc_id", F.posexplode(semantic.inline_runs(F.col("text"))).alias("run_no", "run"))
+    runs = table(spark, sf, "documents").select("doc_id", F.posexplode(semantic.inline_runs(F.col("text"))).alias("run_no", "run"))
     return runs.select("doc_id", "run_no", "run.*")
 
 
@@ -295,12 +295,6 @@ def numerals_and_names(spark, sf):
 # ---- whole documents -------------------------------------------------------------------------
 
 
-def _small(spark, sf):
-    """The composed benchmark items: a few hundred documents."""
-    table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id").createOrReplaceTempView("lexmill_documents")
-    return spark.sql(COMPOSED.replace("FROM documents", "FROM lexmill_documents"))
-
-
 @query(None)
 def processed_documents(spark, sf):
     df = composed(spark, sf).withColumn("file_name", F.lit("a.docx")).withColumn("source_type", F.lit("Word"))
@@ -309,22 +303,22 @@ def processed_documents(spark, sf):
 
 @query(None)
 def docx_render(spark, sf):
-    return docx.render(_small(spark, sf)).select("doc_id", F.sha2("docx", 256).alias("sha256"), F.length("docx").alias("bytes"))
+    return docx.render(composed(spark, sf)).select("doc_id", F.sha2("docx", 256).alias("sha256"), F.length("docx").alias("bytes"))
 
 
 @query(None)
 def docx_format_check(spark, sf):
-    parts = docx.extract_properties(docx.render(_small(spark, sf)))
+    parts = docx.extract_properties(docx.render(composed(spark, sf)))
     return compliance.reports(parts[0], compliance.check(*parts)).select("doc_id", "passed", F.to_json("issues").alias("issues"))
 
 
 @query(None)
 def docx_reformat(spark, sf):
-    made = docx.reformat_all(docx.render(_small(spark, sf)))
+    made = docx.reformat_all(docx.render(composed(spark, sf)))
     return made.select("doc_id", F.sha2("docx", 256).alias("sha256"), "error")
 
 
 @query(None)
 def format_targets(spark, sf):
-    _, paragraphs, _ = docx.extract_properties(docx.render(_small(spark, sf)))
+    _, paragraphs, _ = docx.extract_properties(docx.render(composed(spark, sf)))
     return compliance.target_format(paragraphs)
