@@ -20,13 +20,14 @@ Benjamini-Hochberg at ``FDR`` over all candidates of the corpus.  The probabilit
 Spans are code points, end exclusive.  A run that overlaps a fixed span isn't reported again.
 
 Edge cases: null text counts as empty and has no spans; without candidates nothing is discovered;
-repeated rows are reported each; an empty table gives an empty result; positions come from one fold
-over a text's matches, so very long texts are whole.
+repeated rows are reported each; an empty table gives an empty result; positions come from a fold
+over chunks of a text's matches, so very long texts are whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,25 +38,53 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}"
 #: No letter or digit of another script may touch a candidate: those are words.
 CANDIDATE = r"(?<![\p{L}\p{N}+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![\p{L}\p{N}])"
+#: Matches folded at once.
+CHUNK = 128
 REJECT, FDR, BINS, LOWEST = 0.001, 0.01, 20, -6000
 #: Ordinary text: changes of class a character, and the chance that two letters are equal.
 USUAL_CHANGE, USUAL_REPEAT, USUAL_SPREAD = 0.05, 0.066, 0.35
 KINDS = ("assign", "access", "hex", "random")
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once; an expression inside a lambda is computed at every call."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _placed(pairs: Column) -> Column:
+    """(start, stop, match) of (gap before, match) pairs.
+
+    A fold copies what it has made at every step, so it goes over chunks, each from the sum of those before.
+    """
+    none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
+
+    def add(held: Column, x: Column) -> Column:
+        stop = held["at"] + x["g"] + F.length(x["m"])
+        return F.struct(stop.alias("at"), F.concat(held["out"], F.array(F.struct((held["at"] + x["g"]).alias("start"), stop.alias("stop"), x["m"].alias("match")))).alias("out"))
+
+    def folded(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["g"] + F.length(x["m"])))
+        firsts = F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda held, n: F.struct((held["at"] + n).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out")),
+            lambda held: held["out"],
+        )
+        return F.zip_with(chunks, firsts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), add, lambda held: held["out"]))
+
+    number = F.floor((F.size(pairs) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), number), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
+    return F.flatten(let(chunks, folded))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, stop, match)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
-    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
-
-    def step(held: Column, x: Column) -> Column:
-        start = held["at"] + F.length(x["g"])
-        stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(held["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("match")))).alias("out"))
-
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda held: held["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("g"), m.alias("m")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # the text after the last match is no gap
+    return F.when(text.rlike(pattern), let(pairs, _placed)).otherwise(none)
 
 
 def fixed_spans(text: Column) -> dict[str, Column]:
@@ -158,11 +187,24 @@ def discovered(rows: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, assign, access, hex and random (arrays of start and stop)."""
     rows = candidates(docs, text)
-    more = discovered(rows).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # the runs of one text
+    more = fresh(rows, settle(discovered(rows))).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))  # the runs of one text
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    known = F.concat(*[F.col(k) for k in KINDS[:3]])
-    fresh = F.filter(F.coalesce("more", none), lambda x: ~F.exists(known, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    return rows.join(more, "rid", "left").select("doc_id", *KINDS[:3], fresh.alias("random"))
+    return rows.join(more, "rid", "left").select("doc_id", *KINDS[:3], F.coalesce("more", none).alias("random"))
+
+
+def fresh(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """The ``runs`` (rid, start, stop) that overlap no fixed span of their text.
+
+    In each text the fixed spans, at their start, and the runs, at their stop, go by place: a run is overlapped if a
+    span that starts before the run's stop stops after the run's start.
+    """
+    fixed = rows.join(runs.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(F.concat(*[F.col(k) for k in KINDS[:3]])).alias("x"))
+    nothing = F.lit(None).cast("int")
+    events = fixed.select("rid", F.col("x.start").alias("at"), F.lit(1).alias("late"), F.col("x.stop").alias("reach"), nothing.alias("start"), nothing.alias("stop"))
+    events = events.union(runs.select("rid", F.col("stop"), F.lit(0), nothing, "start", "stop"))
+    before = Window.partitionBy("rid").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = events.withColumn("reached", F.coalesce(F.max("reach").over(before), F.lit(0)))
+    return reached.where("start is not null and reached <= start").select("rid", "start", "stop")
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
