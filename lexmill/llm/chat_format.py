@@ -90,16 +90,14 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     cuts = cuts.select("pair_id", F.when(F.col("sides") > 1, F.coalesce("cut", "end")).otherwise(F.coalesce("answer", "end")).alias("n_prompt_turns"))
     kind = F.when(F.col("place") < F.col("n_prompt_turns"), F.lit("p")).otherwise(F.col("side"))
     single = (F.col("place") >= F.col("n_prompt_turns")) | (F.col("side") == "c")  # the prompt once, from the chosen side
-    piece = F.struct("place", F.length(F.concat(F.lit(BEFORE), "role", F.lit(BETWEEN))).alias("head"), rendered(F.col("role"), F.col("text")).alias("body"), (F.col("role") == "assistant").alias("counts"))
-    parts = rows.join(cuts, "pair_id").where(single).groupBy("pair_id", "n_prompt_turns", kind.alias("kind")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    placed = rows.join(cuts, "pair_id").where(single).withColumn("kind", kind).withColumn("body", rendered(F.col("role"), F.col("text")))
+    # where each piece ends is a running sum over rows, so a mask is linear in the turns
+    stop = F.sum(F.length("body")).over(Window.partitionBy("pair_id", "n_prompt_turns", "kind").orderBy("place")).cast("int")
+    placed = placed.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("body") + F.length(F.concat(F.lit(BEFORE), "role", F.lit(BETWEEN))))
+    piece = F.struct("place", "start", "stop", "body", (F.col("role") == "assistant").alias("counts"))
+    parts = placed.groupBy("pair_id", "n_prompt_turns", "kind").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def step(held: Column, x: Column) -> Column:
-        stop = held["at"] + F.length(x["body"])
-        span = F.array(F.struct((held["at"] + x["head"]).alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.concat(held["out"], F.when(x["counts"], span).otherwise(none)).alias("out"))
-
-    mask = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda held: held["out"])
+    mask = F.transform(F.filter("pieces", lambda x: x["counts"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
     body = F.array_join(F.transform("pieces", lambda x: x["body"]), "")
     made = parts.select("pair_id", "n_prompt_turns", "kind", body.alias("body"), mask.alias("mask"))
     pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
