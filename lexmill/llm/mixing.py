@@ -13,13 +13,14 @@ taken in one pre-aggregated pass, so a source of any size is never gathered in a
 Edge cases: null text has size 0 (and is copied like any other row: zero words); null source is a
 source of its own, last in order; a source without words has target 0 and its documents are not
 taken; rows with one doc_id draw alike; an empty table gives an empty result; columns of ``docs``
-may have any names, those made here win.
+may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,14 +104,19 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with ``copy`` from 1."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns and the copy's number from 1.
+
+    That column is ``copy``, or ``copy_2``, ``copy_3`` and so on where ``docs`` has such a column already.
+    """
+    names = {c.lower() for c in docs.columns}
+    number = next(c for c in (f"copy_{k}" if k > 1 else "copy" for k in count(1)) if c not in names)
     _, rates = plan_mix(docs, weights, share, cap)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"))
     keyed = whole.withColumn("mix_key", _key("mix_doc.source"))
     rates = rates.select(F.col("key").alias("mix_key"), F.struct("base", "frac", "seed").alias("mix_rate"))
     taken = keyed.join(rates, "mix_key").withColumn("mix_n", copies(F.col("mix_doc.doc_id"), "mix_rate.").cast("int"))
-    kept = [F.col(f"mix_doc.`{c}`") for c in docs.columns if c != "copy"]
-    return taken.where("mix_n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy"))
+    kept = [F.col(f"mix_doc.`{c}`") for c in docs.columns]
+    return taken.where("mix_n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias(number))
 
 
 SQL = rf"""
