@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +14,99 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
+#: Paths of the tables written in the open ``scratch`` blocks, the innermost block last.
+_blocks: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a folder of its own is made.
+    Where the session names none, a session whose executors are the driver itself gets a temporary
+    folder; on a cluster that is an error, as executors can't read each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="lexmill-")
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
+        return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = tempfile.mkdtemp(prefix="lexmill-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def settle(df: DataFrame) -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no recomputation of what stands above) and, unlike
-    ``checkpoint()``, keeps column pruning and file statistics for the next plan.
+    ``checkpoint()``, keeps column pruning and file statistics for the next plan.  The table goes when the
+    innermost ``scratch`` block ends (``outer``: the one around it), at the latest when the driver does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    if len(_blocks) > outer:
+        _blocks[-1 - outer].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block at whose end the tables settled in it are deleted, but those settled for the block around it."""
+    mine: list[str] = []
+    _blocks.append(mine)
+    try:
+        yield
+    finally:
+        _blocks[:] = [b for b in _blocks if b is not mine]
+        for path in mine:
+            files, at = _path(spark, path)
+            files.delete(at, True)
+
+
+#: Plans in which a row of a file is one row at most.
+_ROWWISE = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _reads_files(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a Parquet file, so that the file numbers it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ROWWISE and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns and " parquet" in plan.toString().split("\n")[0]
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as the struct ``name``, with ``rid``: what names a row in every plan that reads the result.
+
+    Rows of Parquet files are named by file (64 bits of hash) and place in it; others are written once, numbered.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+    if _reads_files(docs):
+        return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("rid"), whole)
+    return settle(docs.select(F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")).alias("rid"), whole))
+
+
+#: Row names that are broadcast at most (some 60 MB in memory); more are joined by a shuffle.
+FEW_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose ``rid`` isn't in ``gone``, a written table; ``gone`` is broadcast if counted to be small."""
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, "rid", "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,5 +117,5 @@ def whole_text(column: str = "text") -> Column:
 
 
 def id_remainder(column: str = "doc_id", modulus: int = 5) -> Column:
-    """crc32 of the id's decimal text, modulo ``modulus``: the fold of a document."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)).cast("int")
+    """crc32 of the id's decimal text, modulo ``modulus``: the fold of a document; a null id counts as the empty text (0)."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import settle
+from lexmill.llm.common import scratch, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,17 +18,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges change nothing; an empty table gives an empty result.  Each round
     is written to the shared folder, so a lost executor costs at most one round.
     """
-    now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(now)
-    while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(now)
-        if state == before:
-            break
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    with scratch(edges.sparkSession):
+        now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        state = _state(now)
+        while state[0]:
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = settle(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+            before, state = state, _state(now)
+            if state == before:
+                break
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return settle(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), outer=True)

@@ -6,21 +6,27 @@ blocks of ``BLOCK``; each term has its largest weight (WAND's bound of a list) a
 in each block (the block-max bound).
 
 Query: every passage of every document, that is every window of 2 * ``UNIT`` words at a step of
-``UNIT``, so that each unit lies whole in some window.  The bounds are taken for many passages at once:
-a passage whose lists can't reach the threshold has no pivot and ends; of the others, only blocks whose
-summed block maxima reach it stay live; only there units are scored.  All units above the threshold
-are retrieved, without a limit on their number.
+``UNIT``, so that each unit lies whole in some window.  WAND's steps are taken for many passages at once.
+A passage's lists are ordered by their bounds and summed; the list at which the sum reaches the
+threshold is the pivot (a passage without one ends).  No unit that stands only in lists before the pivot
+can reach the threshold, so only the blocks in the lists from the pivot on are opened, all others are
+skipped; of the opened ones those stay whose summed block maxima reach the threshold, and only their
+units are scored.  All units above the threshold are retrieved, without a limit on their number.
 
 Check: around each hit, the item's question (all but its last sentence) and answer (the last sentence,
 or the last fifth of the words) must both share enough of their word trigrams with the document.
 
-The index is built and sent to the workers in shards of at most ``SHARD_UNITS`` units (some 35 MB each
-at most), ``SHARDS_AT_ONCE`` in a pass over the documents; more items mean more passes, never a larger
-broadcast.  Documents are not shuffled at all.
+The index is built and sent to the workers in shards of about ``SHARD_UNITS`` / 2 units, dealt by hash of
+unit, so that a long item's units are spread; ``SHARDS_AT_ONCE`` in a pass over the documents.  More items
+mean more passes, never a larger broadcast, and one pass's index is alive at a time.  A pass holds the whole
+texts of the items of which it has units.  Documents are not shuffled at all; with more than one pass
+``drop_contaminated`` writes those left after each.
 
 Edge cases: null texts count as empty; items without a word never match; items of less than three
-words match where the whole item occurs; repeated items are reported under each id; an empty table on
-either side gives an empty result; texts of any length are handled in pieces of some megabytes.
+words match where the whole item occurs; repeated items are reported under each id; items that share an
+id but differ in text are items of their own, each reported; an item without an id is searched like others
+and reported with null; ids may be of any type; an empty table on either side gives an empty result; texts
+of any length are handled in pieces of some megabytes.
 """
 
 from __future__ import annotations
@@ -34,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexmill.llm.common import settle, whole_text
+from lexmill.llm.common import scratch, settle, whole_text
 
 UNIT, BLOCK = 64, 4
 K1, B = 1.2, 0.75
@@ -43,7 +50,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 SHARD_UNITS, SHARDS_AT_ONCE = 1024, 8
-#: Characters of documents and (passage, term) pairs held in arrays at once.
+#: Characters of documents, and (passage, term) pairs, held in arrays at once.
 HELD_CHARS, HELD_PAIRS = 4_000_000, 100_000
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -86,7 +93,7 @@ def share(part: list[bytes], region: dict[int, set[tuple[bytes, ...]]]) -> float
 class Shard:
     """The postings of a bounded number of units, with the block maxima of every term."""
 
-    def __init__(self, postings: Iterable[tuple[int, int, int, float]], items: dict[int, str]):
+    def __init__(self, postings: Iterable[tuple[tuple[int, int], int, int, float]]):
         """``postings``: (unit, item, term, weight); terms are numbers of the pass's vocabulary."""
         rows = sorted(postings)
         units = {u: i for i, u in enumerate(dict.fromkeys(r[0] for r in rows))}
@@ -101,7 +108,8 @@ class Shard:
             self.maxima[t, u // BLOCK] = max(self.maxima[t, u // BLOCK], np.float32(weight))
             self.inside[t, u // BLOCK].append((u, weight))
         self.list_max = self.maxima.max(axis=1) if len(place) else np.zeros(0, np.float32)
-        self.parts = {i: question_and_answer(items[i]) for i in set(self.item)}
+        at, self.blocks = np.nonzero(self.maxima)  # of each term in order
+        self.first_block = np.searchsorted(at, np.arange(len(place) + 1))
 
     def search(self, window: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
         """(window, item, score) of all units that reach the threshold; pairs come sorted by window, each once."""
@@ -113,40 +121,58 @@ class Shard:
             return
         starts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         floor = np.float32(threshold * 0.9999)  # sums of float32 may fall short by a rounding
-        pivot = np.add.reduceat(self.list_max[term], starts) >= floor
-        keep = np.repeat(pivot, np.diff(np.r_[starts, len(window)]))
+        reaches = np.add.reduceat(self.list_max[term], starts) >= floor
+        keep = np.repeat(reaches, np.diff(np.r_[starts, len(window)]))
         window, term = window[keep], term[keep]
         if not len(window):
             return
+        order = np.lexsort((self.list_max[term], window))  # a passage's lists by their bounds
+        window, term = window[order], term[order]
         starts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         ends = np.r_[starts[1:], len(window)]
         first = 0
         while first < len(starts):
             last = max(first + 1, int(np.searchsorted(ends, starts[first] + HELD_PAIRS, side="right")))
-            low, high = starts[first], ends[last - 1]
-            bounds = np.add.reduceat(self.maxima[term[low:high]], starts[first:last] - low, axis=0)
-            for q, block in zip(*np.nonzero(bounds >= floor), strict=True):
-                own = term[starts[first + q] : ends[first + q]]
-                scores: dict[int, float] = defaultdict(float)
-                for t in own.tolist():
-                    for unit, weight in self.inside.get((t, int(block)), ()):
-                        scores[unit] += weight
-                for unit, value in scores.items():
-                    if value >= threshold - 1e-9:
-                        yield int(window[starts[first + q]]), self.item[unit], value
+            yield from self._opened(window, term, starts[first:last], ends[first:last], floor, threshold)
             first = last
 
+    def _opened(self, window: np.ndarray, term: np.ndarray, starts: np.ndarray, ends: np.ndarray, floor: np.float32, threshold: float) -> Iterator[tuple[int, int, float]]:
+        low, sizes = starts[0], ends - starts
+        own = term[low : ends[-1]]
+        sums = np.cumsum(self.list_max[own], dtype=np.float64)
+        before = np.repeat(np.r_[0.0, sums][starts - low], sizes)
+        passage = np.repeat(np.arange(len(starts)), sizes)
+        from_pivot = sums - before >= floor
+        lists, passage = own[from_pivot], passage[from_pivot]
+        counts = self.first_block[lists + 1] - self.first_block[lists]
+        places = np.repeat(self.first_block[lists] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        width = self.maxima.shape[1]
+        opened = np.unique(np.repeat(passage, counts) * width + self.blocks[places])
+        for q, block in zip((opened // width).tolist(), (opened % width).tolist(), strict=True):
+            mine = term[starts[q] : ends[q]]
+            if self.maxima[mine, block].sum() < floor:
+                continue
+            scores: dict[int, float] = defaultdict(float)
+            for t in mine.tolist():
+                for unit, weight in self.inside.get((t, block), ()):
+                    scores[unit] += weight
+            for unit, value in scores.items():
+                if value >= threshold - 1e-9:
+                    yield int(window[starts[q]]), self.item[unit], value
+
 
 class Index:
     """The shards of one pass and their common vocabulary."""
 
-    def __init__(self, rows: list, items: dict[int, str]):
-        """``rows``: (shard, unit, item_id, term, weight)."""
+    def __init__(self, rows: list, items: dict[int, tuple[object, str]]):
+        """``rows``: (shard, unit, item, term, weight); ``items``: an item's id and text."""
         self.vocabulary: dict[bytes, int] = {}
-        by: dict[int, list[tuple[int, int, int, float]]] = defaultdict(list)
+        by: dict[int, list[tuple[tuple[int, int], int, int, float]]] = defaultdict(list)
         for shard, unit, item, term, weight in rows:
             by[shard].append((unit, item, self.vocabulary.setdefault(term, len(self.vocabulary)), weight))
-        self.shards = [Shard(p, items) for p in by.values()]
+        self.shards = [Shard(p) for p in by.values()]
+        self.ids = {k: i for k, (i, _) in items.items()}
+        self.parts = {k: question_and_answer(text) for k, (_, text) in items.items()}
 
     def numbers(self, text: str) -> np.ndarray:
         """The numbers of a text's words in order; -1 outside the vocabulary."""
@@ -173,12 +199,15 @@ class Index:
         pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         window, term = pairs // size, pairs % size
         for shard in self.shards:
+            cut, words = -1, []  # hits come in the texts' order: each text with a hit is cut into words once
             for w, item, value in shard.search(window, term, threshold):
                 i = int(np.searchsorted(base, w, side="right")) - 1
+                if i != cut:
+                    cut, words = i, words_of(texts[i])
                 first = (w - int(base[i])) * UNIT
-                parts = shard.parts[item]
+                parts = self.parts[item]
                 reach = sum(map(len, parts))
-                near = words_of(texts[i])[max(0, first - reach) : first + 2 * UNIT + reach]
+                near = words[max(0, first - reach) : first + 2 * UNIT + reach]
                 region = {n: grams(near, n) for n in (1, 2, 3)}
                 q, a = (share(p, region) for p in parts)
                 if q >= question and a >= answer and (item not in found[i] or value > found[i][item][0]):
@@ -186,8 +215,14 @@ class Index:
         return found
 
 
-def postings(benchmark: DataFrame) -> DataFrame:
-    """(unit, item_id, term, weight) of all items; a written table.  Weights of a unit sum to one."""
+def numbered_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, text) of the distinct items, numbered in a written table."""
+    rows = benchmark.select("item_id", whole_text().alias("text")).dropDuplicates()
+    return settle(rows.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """(item, part, term, weight) of all items; a written table.  Weights of a unit sum to one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,35 +233,35 @@ def postings(benchmark: DataFrame) -> DataFrame:
                 for k in range(n):
                     own = words[k * len(words) // n : (k + 1) * len(words) // n]
                     for term in set(own):
-                        for name, value in (("item_id", item), ("part", k), ("term", term), ("tf", own.count(term)), ("len", len(own))):
+                        for name, value in (("item", item), ("part", k), ("term", term), ("tf", own.count(term)), ("len", len(own))):
                             out[name].append(value)
             if out:
-                yield pa.RecordBatch.from_pydict(dict(out), schema=pa.schema([("item_id", pa.int64()), ("part", pa.int32()), ("term", pa.binary()), ("tf", pa.int32()), ("len", pa.int32())]))
+                yield pa.RecordBatch.from_pydict(dict(out), schema=pa.schema([("item", pa.int64()), ("part", pa.int32()), ("term", pa.binary()), ("tf", pa.int32()), ("len", pa.int32())]))
 
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
-    terms = settle(rows.dropDuplicates().mapInArrow(cut, "item_id long, part int, term binary, tf int, len int"))
-    units = terms.select("item_id", "part", "len").distinct()
+    terms = settle(items.select("item", "text").mapInArrow(cut, "item long, part int, term binary, tf int, len int"))
+    units = terms.select("item", "part", "len").distinct()
     n, mean = units.agg(F.count("*"), F.avg("len")).first()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
     weighed = terms.join(df, "term").withColumn("raw", idf * tf)
-    self_score = F.sum("raw").over(Window.partitionBy("item_id", "part"))  # at most UNIT rows
-    return settle(weighed.select("item_id", "part", "term", (F.col("raw") / self_score).alias("weight")))
+    self_score = F.sum("raw").over(Window.partitionBy("item", "part"))  # at most UNIT rows
+    return settle(weighed.select("item", "part", "term", (F.col("raw") / self_score).alias("weight")))
 
 
-def passes(benchmark: DataFrame) -> Iterator[Index]:
-    """The index, a bounded number of shards at a time."""
-    weights = postings(benchmark)
-    n = weights.select("item_id", "part").distinct().count()
-    shards = -(-n // (SHARD_UNITS // 2))  # hashing is uneven; half full on average keeps shards below the bound
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(max(1, shards))).cast("int")
-    weights = weights.withColumn("shard", shard)
-    texts = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).withColumn("shard", shard)
-    for first in range(0, shards, SHARDS_AT_ONCE):
-        held = F.col("shard").between(first, first + SHARDS_AT_ONCE - 1)
-        rows = [(r["shard"], (r["item_id"], r["part"]), r["item_id"], bytes(r["term"]), r["weight"]) for r in weights.where(held).toLocalIterator()]
-        yield Index(rows, {r["item_id"]: r["text"] for r in texts.where(held).toLocalIterator()})
+def passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """The index, a bounded number of shards at a time, and whether it is the only pass."""
+    with scratch(benchmark.sparkSession):
+        items = numbered_items(benchmark)
+        weights = postings(items)
+        n = weights.select("item", "part").distinct().count()
+        shards = -(-n // (SHARD_UNITS // 2))  # hashing is uneven; half full on average keeps shards below the bound
+        weights = weights.withColumn("shard", F.pmod(F.xxhash64("item", "part"), F.lit(max(1, shards))).cast("int"))
+        for first in range(0, shards, SHARDS_AT_ONCE):
+            held = weights.where(F.col("shard").between(first, first + SHARDS_AT_ONCE - 1))
+            rows = [(r["shard"], (r["item"], r["part"]), r["item"], bytes(r["term"]), r["weight"]) for r in held.toLocalIterator()]
+            texts = items.join(held.select("item").distinct(), "item", "left_semi")
+            yield Index(rows, {r["item"]: (r["item_id"], r["text"]) for r in texts.toLocalIterator()}), shards <= SHARDS_AT_ONCE
 
 
 def _pieces(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -245,29 +280,34 @@ def _pieces(texts: Iterable[str]) -> Iterator[list[str]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of every leak; clean documents give no row."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
+    kinds = [t.schema[c].dataType for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double, first_word bigint"
+    item_type = to_arrow_type(kinds[1])
     rows = docs.select("doc_id", whole_text().alias("text"))
     out = spark.createDataFrame([], schema)
-    for index in passes(benchmark):
+    for index, only in passes(benchmark):
         sent = spark.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [f for part in _pieces(batch.column(1).to_pylist()) for f in sent.value.find(part, threshold)]
-                hits = [(i, item, *values) for i, f in enumerate(found) for item, values in sorted(f.items())]
+                hits = [(i, sent.value.ids[item], *values) for i, f in enumerate(found) for item, values in sorted(f.items())]
                 ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
-                columns = [pa.array([h[k] for h in hits], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.int64()))]
+                columns = [pa.array([h[k] for h in hits], t) for k, t in ((1, item_type), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
-        out = out.union(rows.mapInArrow(work, schema))
+        found = rows.mapInArrow(work, schema)
+        if only:
+            return found
+        out = out.union(settle(found, outer=True))
+        sent.destroy()
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns; rows are judged where they stand."""
     spark = docs.sparkSession
-    for index in passes(benchmark):
+    for index, only in passes(benchmark):
         sent = spark.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -276,5 +316,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 clean = [not f for part in _pieces(texts) for f in sent.value.find(part, threshold)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        left = docs.mapInArrow(work, docs.schema)
+        if only:
+            return left
+        docs = settle(left, outer=True)
+        sent.destroy()
     return docs

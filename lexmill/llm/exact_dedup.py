@@ -1,36 +1,38 @@
 """Exact dedup: static filters per immutable snapshot screen the digests of later batches.
 
-``docs`` is dealt into parts: part 0 is the first immutable snapshot, each later part is a batch that
-meets the snapshots before it.  In each part equal texts are grouped on their own first (one
-pre-aggregated pass, so a hot group of copies is never gathered).  Each snapshot's distinct digests
-go, by shards of at most about ``SHARD_KEYS``, into static 3-wise binary-fuse filters; a batch's
-distinct digests are co-partitioned with the shards and screened there.  What a filter lets through
-joins that snapshot's exact bucket (the whole digest) and the two representatives' normalised texts
-are compared byte by byte.  Only then do groups of different parts become one.
+A ``Snapshot`` is built once, stored and only read afterwards: its classes (one row for each text, with the
+row that stays and its normalised text) and, by shards of at most about ``SHARD_KEYS`` distinct digests,
+static 3-wise binary-fuse filters.  A batch's equal texts are grouped on their own first (one pre-aggregated
+pass, so a hot group of copies is never gathered); its distinct digests are co-partitioned with the shards
+and screened there.  What a filter lets through joins the snapshot's exact bucket (the whole digest), and the
+two normalised texts are compared byte by byte; only then do the two groups become one.
+
+``screen_batch`` holds a batch against stored snapshots.  ``exact_groups`` and ``drop_copies`` take one table:
+half of it (by the id's crc32, or ``old``) is made the snapshot, the other half is the batch that meets it.
 
 Texts are equal when identical after every ASCII blank is deleted.  Of a group the row with most code
 points stays, then the one with the smallest doc_id.
 
 Edge cases: null text counts as empty, so null, empty and blank texts are one group; a null doc_id
-comes last among ties; rows that agree in doc_id and length too are told apart by their row number
-in the written table, and one stays; an empty table gives an empty result.
+comes last among ties; rows that agree in doc_id and length too are told apart by their place in the
+table's files, and one stays; an empty table or snapshot gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BLANK, settle, whole_text
+from lexmill.llm.common import BLANK, numbered, scratch, settle, whole_text, without
 
 #: Keys for which one shard of a filter is meant; shards are dealt by digest, so they are even.
 SHARD_KEYS = 400_000
-PARTS = 2
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -129,102 +131,160 @@ def _shard(shards: int) -> Column:
 
 
 def build_filters(classes: DataFrame, shards: int) -> DataFrame:
-    """(part, shard, seed, segment, segments, prints) of the distinct digests of each part."""
+    """(shards, shard, seed, segment, segments, prints): the filters of a snapshot's distinct digests."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         f = FuseFilter.build(_keys(pdf["sha"]))
-        row = (int(pdf["part"].iloc[0]), int(pdf["shard"].iloc[0]), f.seed, f.segment, f.segments, f.prints.tobytes())
-        return pd.DataFrame([row], columns=["part", "shard", "seed", "segment", "segments", "prints"])
+        row = (shards, int(pdf["shard"].iloc[0]), f.seed, f.segment, f.segments, f.prints.tobytes())
+        return pd.DataFrame([row], columns=["shards", "shard", "seed", "segment", "segments", "prints"])
 
-    keyed = classes.select("part", "sha", _shard(shards).alias("shard"))
-    return keyed.groupBy("part", "shard").applyInPandas(build, "part int, shard int, seed int, segment int, segments int, prints binary")
+    keyed = classes.select("sha", _shard(shards).alias("shard"))
+    return keyed.groupBy("shard").applyInPandas(build, "shards int, shard int, seed int, segment int, segments int, prints binary")
 
 
-def screen(classes: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(sha, part, snapshot) where the filter of an earlier part may hold the digest."""
+def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """(sha): the digests that a snapshot's filters may hold."""
 
     def work(filters: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"sha": [], "part": [], "snapshot": []}).astype({"part": "int32", "snapshot": "int32"})]
-        if len(batch):
-            keys, parts = _keys(batch["sha"]), batch["part"].to_numpy()
-            for row in filters.itertuples(index=False):
-                own = FuseFilter(row.seed, row.segment, row.segments, np.frombuffer(row.prints, np.uint8))
-                hit = own.holds(keys) & (parts > row.part)
-                found.append(pd.DataFrame({"sha": batch["sha"][hit], "part": parts[hit], "snapshot": np.int32(row.part)}))
-        return pd.concat(found, ignore_index=True)
-
-    keyed = classes.where("part > 0").select("sha", "part", _shard(shards).alias("shard"))
-    return filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(work, "sha binary, part int, snapshot int")
-
-
-def number_rows(docs: DataFrame, part: Column) -> DataFrame:
-    """``docs`` as ``dup_doc``, with row number, part, code points and digest; a written table."""
-    text = normalised("dup_doc.text")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("dup_doc"))
-    return settle(
-        rows.select(
-            F.monotonically_increasing_id().alias("rid"),
-            F.col("dup_doc.doc_id").alias("doc_id"),
-            part.cast("int").alias("part"),
-            F.length(whole_text("dup_doc.text")).alias("n_cp"),
-            F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"),
-            "dup_doc",
-        )
+        hit = np.zeros(len(batch), bool)
+        for row in filters.itertuples(index=False) if len(batch) else ():
+            hit |= FuseFilter(row.seed, row.segment, row.segments, np.frombuffer(row.prints, np.uint8)).holds(_keys(batch["sha"]))
+        return batch.loc[hit, ["sha"]]
+
+    keyed = digests.select("sha", _shard(shards).alias("shard"))
+    return filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(work, "sha binary")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, n_cp, sha) of numbered rows (rid, dup_doc)."""
+    return rows.select(
+        "rid",
+        F.col("dup_doc.doc_id").alias("doc_id"),
+        F.length(whole_text("dup_doc.text")).alias("n_cp"),
+        F.unhex(F.sha2(normalised("dup_doc.text").cast("binary"), 256)).alias("sha"),
     )
 
 
-def default_part(parts: int = PARTS) -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col("dup_doc.doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+def _best() -> Column:
+    """Sorts the row that stays first."""
+    return F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
 
 
-def group_rows(rows: DataFrame) -> DataFrame:
-    """(part, sha, keep_id, keep_rid, group_size) of the groups over all parts, a written table."""
-    best = F.struct(
-        (-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("rid")
-    )
-    classes = settle(rows.groupBy("part", "sha").agg(F.count("*").alias("n"), F.min(best).alias("best")))
-    most, last = classes.groupBy("part").count().agg(F.max("count"), F.max("part")).first()
-    shards = max(1, math.ceil((most or 0) / SHARD_KEYS))
-    filters = build_filters(classes.where(F.col("part") < F.lit(last)), shards)  # nothing meets the last part
-    positives = screen(classes, filters, shards)
-    bucket = classes.select(F.col("part").alias("snapshot"), "sha", F.col("best.rid").alias("snapshot_rid"))
-    own = classes.select("part", "sha", F.col("best.rid").alias("rid"))
-    pairs = settle(positives.join(bucket, ["snapshot", "sha"]).join(own, ["part", "sha"]))
-    wanted = pairs.select("rid").union(pairs.select(F.col("snapshot_rid").alias("rid"))).distinct()
-    texts = wanted.join(rows.select("rid", "dup_doc.text"), "rid").select("rid", normalised().cast("binary").alias("body"))
-    same = (
-        pairs.join(texts, "rid")
-        .join(texts.select(F.col("rid").alias("snapshot_rid"), F.col("body").alias("snapshot_body")), "snapshot_rid")
-        .where("body = snapshot_body")
-        .groupBy("part", "sha")
-        .agg(F.min("snapshot").alias("root"))
-    )
-    rooted = classes.join(same, ["part", "sha"], "left").withColumn("root", F.coalesce("root", "part"))
-    merged = rooted.groupBy("root", "sha").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
-    return settle(
-        rooted.select("part", "sha", "root")
-        .join(merged, ["root", "sha"])
-        .select("part", "sha", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
-    )
+def _classes(keys: DataFrame) -> DataFrame:
+    """(sha, n, best): equal digests grouped on their own, pre-aggregated."""
+    return keys.groupBy("sha").agg(F.count("*").alias("n"), F.min(_best()).alias("best"))
+
+
+def _bodies(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, body): the normalised texts of the wanted rows."""
+    return rows.select("rid", "dup_doc.text").join(wanted, "rid", "left_semi").select("rid", normalised().cast("binary").alias("body"))
+
+
+class Snapshot:
+    """An immutable set of texts: its classes, its filters and the kept rows' texts.
 
+    ``store`` writes them once under a path; later batches, in this session or another, only read them.
+    """
 
-def exact_groups(docs: DataFrame, part: Column | None = None) -> DataFrame:
+    def __init__(self, classes: DataFrame, filters: DataFrame, bodies: Callable[[DataFrame], DataFrame]):
+        """``classes``: (sha, n, best); ``filters``: of ``build_filters``; ``bodies``: from (rid) to (rid, body)."""
+        self.classes, self.filters, self.bodies = classes, filters, bodies
+        self.shards = filters.agg(F.max("shards")).first()[0] or 1
+
+    @staticmethod
+    def build(rows: DataFrame, keys: DataFrame) -> Snapshot:
+        """Of a table's numbered rows and their digests; texts are read from the table, so it must not change."""
+        classes = settle(_classes(keys))
+        filters = settle(build_filters(classes, max(1, math.ceil(classes.count() / SHARD_KEYS))))
+        return Snapshot(classes, filters, lambda wanted: _bodies(rows, wanted))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Snapshot:
+        texts = spark.read.parquet(f"{path}/texts")
+        return Snapshot(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/filters"), lambda wanted: texts.join(wanted, "rid", "left_semi"))
+
+    @staticmethod
+    def store(docs: DataFrame, path: str) -> Snapshot:
+        """A snapshot of ``docs`` (doc_id, text) under a new path, with the texts."""
+        with scratch(docs.sparkSession):
+            rows = numbered(docs.select("doc_id", "text"), "dup_doc")
+            made = Snapshot.build(rows, settle(digests(rows)))
+            texts = made.bodies(made.classes.select(F.col("best.rid").alias("rid")))
+            for name, df in (("classes", made.classes), ("filters", made.filters), ("texts", texts)):
+                df.write.mode("error").parquet(f"{path}/{name}")
+        return Snapshot.load(docs.sparkSession, path)
+
+    def matches(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """(sha, old_n, old_best) of a batch's classes whose text the snapshot holds, byte by byte."""
+        known = self.classes.select("sha", F.col("n").alias("old_n"), F.col("best").alias("old_best"))
+        positive = screen(classes, self.filters, self.shards).join(known, "sha")
+        positive = settle(positive.join(classes.select("sha", F.col("best.rid").alias("rid")), "sha"))
+        own = _bodies(rows, positive.select("rid"))
+        old = self.bodies(positive.select(F.col("old_best.rid").alias("rid"))).select(F.col("rid").alias("old_rid"), F.col("body").alias("old_body"))
+        both = positive.join(own, "rid").join(old, F.col("old_best.rid") == F.col("old_rid"))
+        return both.where("body = old_body").select("sha", "old_n", "old_best")
+
+
+def screen_batch(docs: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """One row per row of a new batch: doc_id, snapshot, known_id, group_size, first.
+
+    ``snapshot`` is the number of the first snapshot that holds the text and ``known_id`` the doc_id of its row there
+    (both null for a new text); ``group_size`` and ``first`` (true for the row that stays) are of the batch alone.
+    """
+    with scratch(docs.sparkSession):
+        rows = numbered(docs, "dup_doc")
+        keys = settle(digests(rows), outer=True)
+        classes = settle(_classes(keys))
+        none = classes.select("sha", F.lit(0).alias("snapshot"), F.col("best.id").alias("known_id")).where(F.lit(False))
+        met = [s.matches(rows, classes).select("sha", F.lit(k).alias("snapshot"), F.col("old_best.id").alias("known_id")) for k, s in enumerate(snapshots)]
+        known = reduce(DataFrame.union, met, none).groupBy("sha").agg(F.min(F.struct("snapshot", "known_id")).alias("known"))
+        groups = settle(classes.join(known, "sha", "left").select("sha", "n", F.col("best.rid").alias("keep_rid"), "known.*"), outer=True)
+    return keys.join(groups, "sha").select("doc_id", "snapshot", "known_id", F.col("n").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("first"))
+
+
+def in_snapshot() -> Column:
+    """The half of a table that stands for its first immutable snapshot; the other half is the batch that meets it."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(2)) == 0
+
+
+def group_rows(rows: DataFrame, keys: DataFrame, old: Column | None = None) -> DataFrame:
+    """(sha, in_batch, keep_id, keep_rid, group_size) of the groups over snapshot and batch."""
+    held = F.coalesce(in_snapshot() if old is None else old, F.lit(False))
+    keys = keys.withColumn("old", held)
+    snapshot = Snapshot.build(rows, keys.where("old"))
+    batch = settle(_classes(keys.where("not old")))
+    met = batch.join(snapshot.matches(rows, batch), "sha", "left")
+    met = settle(met.select("sha", "n", "best", "old_n", "old_best"))
+    joined = met.select("sha", F.least("best", "old_best").alias("best"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("size"), F.col("old_n").isNotNull().alias("both"))
+    alone = snapshot.classes.select("sha", "best", "n").join(met.where("old_n is not null").select("sha"), "sha", "left_anti")
+    whole = joined.select("sha", F.lit(True).alias("in_batch"), "both", "best", "size").union(alone.select("sha", F.lit(False), F.lit(False), "best", "n"))
+    return whole.select("sha", "in_batch", "both", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), F.col("size").alias("group_size"))
+
+
+def _grouped(docs: DataFrame, old: Column | None) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows, and (rid, doc_id, sha, keep_id, keep_rid, group_size) of each (a written table)."""
+    rows = numbered(docs, "dup_doc")
+    with scratch(docs.sparkSession):
+        keys = settle(digests(rows))
+        held = F.coalesce(in_snapshot() if old is None else old, F.lit(False))
+        groups = settle(group_rows(rows, keys, old))
+        # a digest is the same text in snapshot and batch, unless the bytes differed: then each side has a group of its own
+        keyed = keys.withColumn("in_batch", ~held)
+        sides = groups.where("both").withColumn("in_batch", F.lit(False)).unionByName(groups)
+        found = settle(keyed.join(sides, ["sha", "in_batch"]).select("rid", "doc_id", "sha", "keep_id", "keep_rid", "group_size"), outer=True)
+    return rows, found
+
+
+def exact_groups(docs: DataFrame, old: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = number_rows(docs, default_part() if part is None else part)
-    groups = group_rows(rows)
-    return rows.select("rid", "doc_id", "part", "sha").join(groups, ["part", "sha"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    _, found = _grouped(docs.select("doc_id", "text"), old)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, part: Column | None = None) -> DataFrame:
+def drop_copies(docs: DataFrame, old: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
-    rows = number_rows(docs, default_part() if part is None else part)
-    groups = group_rows(rows)
-    gone = (
-        rows.select("rid", "part", "sha").join(groups.where("group_size > 1"), ["part", "sha"]).where("rid <> keep_rid").select("rid")
-    )
-    return rows.join(gone, "rid", "left_anti").select("dup_doc.*")
+    rows, found = _grouped(docs, old)
+    return without(rows, found.where("rid <> keep_rid").select("rid")).select("dup_doc.*")
 
 
 SQL = r"""

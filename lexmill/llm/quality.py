@@ -9,8 +9,8 @@ with the scoring function.  A score is the logistic function of the difference o
 log densities (Mahalanobis distance and determinant) plus the log prior odds.
 
 Edge cases: null and empty texts have statistics of their own (zeros) and are scored like others;
-labels that are null are not used; a doc_id labelled twice counts twice; if a class has too few rows
-for a covariance, the score of every document is the share of label 1 among the labelled (0.5 if there
+labels that are null are not used; a row without a doc_id counts as held out (nothing labels it); a doc_id
+labelled twice counts twice; if a class has too few rows for a covariance, the score of every document is the share of label 1 among the labelled (0.5 if there
 is none); an empty table gives an empty result.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, id_remainder, settle, whole_text
+from lexmill.llm.common import FEW_ROWS, WORD, id_remainder, scratch, settle, whole_text
 
 #: Shares of the pooled covariance and of the identity in each class covariance.
 TO_POOLED, TO_IDENTITY = 0.1, 0.02
@@ -42,11 +43,11 @@ def statistics(text: Column) -> list[Column]:
     chars, words = F.length(text).cast("double"), n(WORD)
     lines = F.split(text, "\n")
     upper, marks = n(r"\p{Lu}"), n(r"[^\p{L}\p{N}\s.,;:'\"()+=@/_-]")
-    bare = n(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")
+    bare = n(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])")
     ends, commas, bangs = n(r"[.?]"), n(","), n("[!|#$%&*]")
-    tails = n(r"[^\p{L}\p{N}\s.,;:]{2,}(?![^\x20\x09-\x0D])")
+    tails = n(r"(?<![^\p{L}\p{N}\s.,;:])[^\p{L}\p{N}\s.,;:]{2,}+(?![^\x20\x09-\x0D])")  # from a run's beginning alone: linear
     short = n(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])")
-    doubled = n(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)\x20\1(?![^\x20\x09-\x0D])")
+    doubled = n(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)\x20\1(?![^\x20\x09-\x0D])")
     distinct = F.size(F.array_distinct(F.split(text, "[\x20\x09-\x0d]+"))).cast("double")
     repeats = (F.size(lines) - F.size(F.array_distinct(lines))).cast("double")
 
@@ -77,7 +78,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("t")).select("doc_id", F.array(*statistics(F.col("t"))).alias("x"))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Discriminant:
     """Two means with the Cholesky factors of their covariances, or a constant score."""
 
@@ -86,8 +87,13 @@ class Discriminant:
     odds: float
     constant: float = 0.5
 
+    @cached_property
+    def whitening(self) -> tuple[np.ndarray, np.ndarray]:
+        """The inverse Cholesky factors, made once for all batches."""
+        return tuple(np.linalg.solve(f, np.eye(len(f))) for f in self.factors)
+
     def log_density(self, x: np.ndarray, k: int) -> np.ndarray:
-        z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+        z = self.whitening[k] @ (x - self.means[k]).T
         return -0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.factors[k])).sum()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -164,10 +170,13 @@ def train(rows: DataFrame, labels: DataFrame) -> Discriminant:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their columns.
 
-    Rows are scored where they stand and never joined back, so ids may repeat or be null.
+    Statistics are taken of the labelled rows to learn and of each row once to score.  Rows are scored where
+    they stand and never joined back, so ids may repeat or be null.
     """
-    rows = settle(features(docs).withColumn("held_out", id_remainder() == 0))
-    model = train(rows, labels)
+    with scratch(docs.sparkSession):
+        ids = settle(labels.where("doc_id is not null and quality is not null").select("doc_id").where(id_remainder() != 0).distinct())
+        known = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= FEW_ROWS else ids, "doc_id", "left_semi")
+        model = train(settle(features(known).withColumn("held_out", F.lit(False))), labels)
 
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import settle, whole_text
+from lexmill.llm.common import scratch, settle, whole_text
 from lexmill.llm.components import connected_components
 
 FAN = 64
@@ -98,7 +98,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class GrayIndex:
-    """The levels of the index: level k has (node, members) where a member is (id, all, any)."""
+    """The levels of the index: level k has (node, members); a member is (id, all, any), in leaves the fingerprint itself."""
 
     def __init__(self, prints: DataFrame, fp: str = "fp"):
         """``prints``: distinct fingerprints."""
@@ -112,15 +112,14 @@ class GrayIndex:
             starts.append((part, total))
             total += count
         starts = prints.sparkSession.createDataFrame(starts, "part bigint, start bigint")
-        leaf = cut.join(F.broadcast(starts), "part").select(  # as many rows as partitions
-            (F.col("start") + F.col("seq")).alias("node"), F.transform("members", lambda x: F.struct(x.alias("id"), x.alias("all"), x.alias("any"))).alias("members")
-        )
+        leaf = cut.join(F.broadcast(starts), "part").select((F.col("start") + F.col("seq")).alias("node"), "members")  # as many rows as partitions
         self.levels, size = [settle(leaf)], total
         while size > 1:
+            every, some = ("members", "members") if len(self.levels) == 1 else ("members.all", "members.any")
             below = self.levels[-1].select(
                 "node",
-                F.aggregate("members", F.lit(-1).cast("bigint"), lambda a, x: a.bitwiseAND(x["all"])).alias("all"),
-                F.aggregate("members", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x["any"])).alias("any"),
+                F.aggregate(every, F.lit(-1).cast("bigint"), lambda a, x: a.bitwiseAND(x)).alias("all"),
+                F.aggregate(some, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)).alias("any"),
             )
             above = below.groupBy(F.shiftright("node", FAN.bit_length() - 1).alias("node")).agg(
                 F.collect_list(F.struct(F.col("node").alias("id"), "all", "any")).alias("members")  # at most FAN
@@ -138,10 +137,12 @@ class GrayIndex:
             sides = pairs.join(nodes.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(
                 nodes.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"
             )
-            sides = sides.select(*[F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in "xy" for k in ("id", "all", "any")], (F.col("a") == F.col("b")).alias("own"))
-            if level:
-                pairs = sides.mapInArrow(_expand(distance), "a bigint, b bigint").repartition("a", "b")
-        return sides.mapInArrow(_compare(distance), "u bigint, v bigint")
+            own = (F.col("a") == F.col("b")).alias("own")
+            if not level:
+                return sides.select("x", "y", own).mapInArrow(_compare(distance), "u bigint, v bigint")
+            sides = sides.select(*[F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in "xy" for k in ("id", "all", "any")], own)
+            pairs = sides.mapInArrow(_expand(distance), "a bigint, b bigint").repartition("a", "b")
+        raise AssertionError("an index has leaves")
 
 
 def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +155,24 @@ def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _close(batch: pa.RecordBatch, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids of members that may be within the distance, block by block; of a pair with itself each once."""
+    """The ids of members that may be within the distance, block by block; of a pair with itself each once.
+
+    ``batch``: ids, AND and OR of both sides' members and whether the sides are one; of leaves the members alone.
+    """
+    leaves = batch.num_columns == 3
+    own = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
     for at in range(0, batch.num_rows, BLOCK):
         part = batch.slice(at, BLOCK)
-        col = {name: _padded(part.column(i)) for i, name in enumerate(("xi", "xl", "xn", "yi", "yl", "yn"))}
-        (xi, xt), (yi, yt) = col["xi"], col["yi"]
-        x_all, x_any, y_all, y_any = (col[k][0] for k in ("xl", "xn", "yl", "yn"))
-        fixed = ~(x_all ^ x_any)[:, :, None] & ~(y_all ^ y_any)[:, None, :]
-        near = np.bitwise_count(((x_all[:, :, None] ^ y_all[:, None, :]) & fixed).view(np.uint64)) <= distance
+        (xi, xt), (yi, yt) = (_padded(part.column(i)) for i in ((0, 1) if leaves else (0, 3)))
+        if leaves:
+            apart = xi[:, :, None] ^ yi[:, None, :]
+        else:
+            x_all, x_any, y_all, y_any = (_padded(part.column(i))[0] for i in (1, 2, 4, 5))
+            apart = (x_all[:, :, None] ^ y_all[:, None, :]) & ~(x_all ^ x_any)[:, :, None] & ~(y_all ^ y_any)[:, None, :]
+        near = np.bitwise_count(apart.view(np.uint64)) <= distance
         near &= xt[:, :, None] & yt[:, None, :]
-        own = part.column(6).to_numpy(zero_copy_only=False)
         i, j, k = np.nonzero(near)
-        kept = ~own[i] | (j <= k)
+        kept = ~own[at : at + BLOCK][i] | (j <= k)
         i, j, k = i[kept], j[kept], k[kept]
         yield xi[i, j], yi[i, k]
 
@@ -214,24 +221,15 @@ def _compare(distance: int):
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """(id, fp, component_id) of every row of ``docs``."""
-    prints = settle(fingerprints(docs, id_col, text_col, words))
-    nodes = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(GrayIndex(nodes).links(distance))
-    rooted = settle(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
+    with scratch(docs.sparkSession):
+        prints = settle(fingerprints(docs, id_col, text_col, words), outer=True)
+        nodes = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+        roots = connected_components(GrayIndex(nodes).links(distance))
+        rooted = settle(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = settle(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), outer=True)
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """One row of each component stays: the one whose doc_id names it; columns as in ``docs``.
-
-    Rows that share that doc_id all stay; rows without a doc_id stay too, as nothing names them.
-    """
-    groups = near_groups(docs.where("doc_id is not null").select("doc_id", "text"), words=words, distance=distance)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-
-
 def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

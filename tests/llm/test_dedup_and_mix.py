@@ -67,13 +67,24 @@ def test_drop_copies_keeps_columns_and_one_of_each(docs):
     assert len(rows) == 6 and sorted((r["doc_id"] for r in rows)) == [3, 6, 7, 8, 9, 10]
 
 
-def test_exact_over_many_parts(spark):
+def test_exact_for_any_snapshot(spark):
     from pyspark.sql import functions as F
 
     rows = [(i, f"text {i % 50}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = exact_dedup.exact_groups(df, F.col("doc_id") % 5).collect()
-    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, i % 50, 8) for i, _ in rows}
+    for old in (F.col("doc_id") % 5 == 0, F.lit(True), F.lit(False), F.col("doc_id") < 20):
+        got = exact_dedup.exact_groups(df, old).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, i % 50, 8) for i, _ in rows} and len(got) == len(rows)
+
+
+def test_stored_snapshots_screen_later_batches(spark, docs, tmp_path):
+    first = exact_dedup.Snapshot.store(docs.where("doc_id < 6"), str(tmp_path / "a"))
+    exact_dedup.Snapshot.store(spark.createDataFrame([], SCHEMA), str(tmp_path / "b"))
+    snapshots = [exact_dedup.Snapshot.load(spark, str(tmp_path / name)) for name in "ab"]
+    assert snapshots[0].classes.count() == first.classes.count() == 2
+    batch = spark.createDataFrame([(70, "a b c"), (71, "new"), (72, "n e w"), (73, None), (71, "new"), (None, "x")], "doc_id long, text string")
+    got = [(r["doc_id"], r["snapshot"], r["known_id"], r["group_size"], r["first"]) for r in exact_dedup.screen_batch(batch, snapshots).collect()]
+    assert sorted(got, key=str) == sorted([(70, 0, 3, 1, True), (71, None, None, 3, False), (71, None, None, 3, False), (72, None, None, 3, True), (73, 0, 4, 1, True), (None, None, None, 1, True)], key=str)
 
 
 def test_empty_tables(spark):
@@ -81,7 +92,6 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(df).count() == 0
     assert exact_dedup.drop_copies(df).count() == 0
     assert simhash.near_groups(df).count() == 0
-    assert simhash.drop_near_copies(df).count() == 0
     assert mixing.mix_plan(df).count() == 0
     assert mixing.mix(df).count() == 0
 
@@ -146,7 +156,6 @@ def test_near_groups_of_edge_rows(docs):
     got = {r["doc_id"]: r for r in simhash.near_groups(docs).collect() if r["doc_id"] is not None}
     assert {got[i]["component_id"] for i in (4, 5, 6)} == {4}  # null, empty and blank have fingerprint zero
     assert got[9]["component_id"] == 9 and got[7]["component_id"] == 7
-    assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
 def test_components_of_paths_and_stars(spark):
@@ -183,7 +192,7 @@ def test_targets_by_resharing(spark):
 def test_mix_emits_what_is_planned(docs):
     plan = mixing.mix_plan(docs)
     mixed = mixing.mix(docs)
-    assert mixed.columns == [*(c for c in docs.columns if c != "copy"), "copy"]
+    assert mixed.columns == [*docs.columns, "copy_2"]  # the table has a column of that name
     assert mixed.count() == plan.groupBy().sum("copies").first()[0]
     assert sorted(map(str, mixing.mix_plan(docs).collect())) == sorted(map(str, plan.collect()))
     assert all(r["taken"] <= 2 * r["size"] for r in plan.collect())

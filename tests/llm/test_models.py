@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -54,6 +55,17 @@ def test_quality_stage_keeps_columns(corpus):
     assert 0 < kept.count() < docs.count()
 
 
+def test_runs_of_signs_take_linear_time(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["#" * 1_000_000 + "a", "#$ " * 300_000, "ab!! c?!x !!", "x" * 1_000_000]
+    began = time.time()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array(*Q.statistics(F.col("t"))).alias("x")).collect()
+    assert time.time() - began < 60
+    tails = lambda n, words: np.arcsinh(20 * n / (words + 20))
+    assert [r["x"][8] for r in got] == pytest.approx([tails(0, 1), tails(300_000, 300_000), tails(2, 3), tails(0, 1)])
+
+
 def test_quality_without_labels(corpus, spark):
     docs, labels = corpus
     assert {r["score"] for r in Q.classify(docs, labels.limit(0)).collect()} == {0.5}
@@ -207,7 +219,7 @@ def test_pruning_loses_no_unit_above_the_threshold():
         raw = [rng.random() for _ in terms]
         units[u] = {t: w / sum(raw) for t, w in zip(terms, raw, strict=True)}
         postings += [(u, u, t, w) for t, w in units[u].items()]
-    shard = D.Shard(postings, {u: "a b c" for u in units})
+    shard = D.Shard(postings)
     pairs = sorted({(q, t) for q in range(60) for t in rng.sample(range(320), rng.randint(1, 200))})
     window, term = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
     got = {(q, u) for q, u, _ in shard.search(window, term, 0.5)}
@@ -220,3 +232,14 @@ def test_leaks_of_empty_tables(leaky):
     assert D.contaminated(d, b.limit(0)).count() == 0
     assert D.contaminated(d.limit(0), b).count() == 0
     assert D.drop_contaminated(d, b.limit(0)).count() == d.count()
+
+
+def test_items_of_any_id(spark):
+    """Ids that are text, repeated with other texts, or missing; a long item's units lie in several shards."""
+    rng = random.Random(4)
+    items = [("set/1", prose(rng, 40)), ("set/1", prose(rng, 50)), (None, prose(rng, 30)), ("long", prose(rng, 900)), ("clash", None)]
+    docs = [(i, prose(rng, 80) + " " + (text or "") + " " + prose(rng, 80)) for i, (_, text) in enumerate(items)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect())
+    assert got == [(0, "set/1"), (1, "set/1"), (2, None), (3, "long")]
+    assert [r["doc_id"] for r in D.drop_contaminated(d, b).collect()] == [4]

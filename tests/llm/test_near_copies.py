@@ -57,7 +57,7 @@ def test_stage_drops_edited_copies_and_nothing_else(spark, texts):
     kept = corpus_pipeline.near_copies(spark, df, "")
     assert kept.columns == df.columns
     left = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in left if x is not None) == [i for i in range(n) if find(i) == i] and left.count(None) == 1
+    assert sorted(x for x in left if x is not None) == [i for i in range(n) if find(i) == i] and left.count(None) == 0
 
 
 def test_edge_texts_and_empty_tables(spark):
@@ -65,3 +65,23 @@ def test_edge_texts_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in N.drop_near_copies(df).collect()) == [1, 3, 5, 6]
     assert N.drop_near_copies(df.where("doc_id > 9")).count() == 0
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, tmp_path):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuv")
+    rows = [(3, t, "a"), (7, t, "b"), (7, u, "c"), (9, v, "d"), (None, u, "e"), (None, v + " x", "f"), (9, v, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = N.drop_near_copies(docs)
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, t), (7, u), (9, v)]
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    from lexmill.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(20)], "doc_id long, text string")
+    assert N.drop_near_copies(df).count() == 3
+    assert len(list(tmp_path.glob("*/*"))) == 2  # the numbered rows and those that go
