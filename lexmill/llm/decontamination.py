@@ -148,17 +148,25 @@ class Shard:
         places = np.repeat(self.first_block[lists] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
         width = self.maxima.shape[1]
         opened = np.unique(np.repeat(passage, counts) * width + self.blocks[places])
-        for q, block in zip((opened // width).tolist(), (opened % width).tolist(), strict=True):
-            mine = term[starts[q] : ends[q]]
-            if self.maxima[mine, block].sum() < floor:
-                continue
-            scores: dict[int, float] = defaultdict(float)
-            for t in mine.tolist():
-                for unit, weight in self.inside.get((t, block), ()):
-                    scores[unit] += weight
-            for unit, value in scores.items():
-                if value >= threshold - 1e-9:
-                    yield int(window[starts[q]]), self.item[unit], value
+        passage, block, n = opened // width, opened % width, sizes[opened // width]
+        ends_at = np.cumsum(n)
+        at = 0
+        while at < len(opened):  # so many at once that their lists are a bounded array
+            to = max(at + 1, int(np.searchsorted(ends_at, (ends_at[at - 1] if at else 0) + 8 * HELD_PAIRS, side="right")))
+            part = slice(at, to)
+            first = np.r_[0, np.cumsum(n[part])[:-1]]
+            places = np.repeat(starts[passage[part]] - low - first, n[part]) + np.arange(n[part].sum())
+            bounds = np.add.reduceat(self.maxima[own[places], np.repeat(block[part], n[part])], first)
+            for k in (at + np.flatnonzero(bounds >= floor)).tolist():
+                q, b = int(passage[k]), int(block[k])
+                scores: dict[int, float] = defaultdict(float)
+                for t in term[starts[q] : ends[q]].tolist():
+                    for unit, weight in self.inside.get((t, b), ()):
+                        scores[unit] += weight
+                for unit, value in scores.items():
+                    if value >= threshold - 1e-9:
+                        yield int(window[starts[q]]), self.item[unit], value
+            at = to
 
 
 class Index:
