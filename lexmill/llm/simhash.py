@@ -37,22 +37,38 @@ PIECE = 1 << 15
 BLOCK = 256
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The fingerprint of a UTF-8 text, as an unsigned number."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """The XXH64 (seed 42) of a UTF-8 text's shingles, repeats included, piece by piece; none for a text without a word."""
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()  # bytes: A-Z and the six ASCII blanks only
-    if not found:
-        return 0
-    if len(found) <= words:
-        return xxh64_intdigest(b" ".join(found), 42)
-    total, counts = len(found) - words + 1, np.zeros(64, np.int64)
-    for at in range(0, total, PIECE):
+    if found and len(found) <= words:
+        yield np.array([xxh64_intdigest(b" ".join(found), 42)], np.uint64)
+    for at in range(0, len(found) - words + 1 if len(found) > words else 0, PIECE):
         part = found[at : at + PIECE + words - 1]
-        hashes = np.array([xxh64_intdigest(b" ".join(s), 42) for s in zip(*(part[k:] for k in range(words)), strict=False)], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > total, bitorder="little")
-    return int(bits.view("<u8")[0])
+        yield np.array([xxh64_intdigest(b" ".join(s), 42) for s in zip(*(part[k:] for k in range(words)), strict=False)], np.uint64)
+
+
+class Bits:
+    """How many hashes have each bit, and the fingerprint of those that have it in over half."""
+
+    def __init__(self):
+        self.total, self.counts = 0, np.zeros(64, np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.total += len(hashes)
+        self.counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    def fingerprint(self) -> int:
+        return int(np.packbits(self.counts * 2 > self.total, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The fingerprint of a UTF-8 text, as an unsigned number."""
+    bits = Bits()
+    for hashes in shingle_hashes(text, words):
+        bits.add(hashes)
+    return bits.fingerprint()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -219,10 +235,9 @@ def _compare(distance: int):
     return work
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """(id, fp, component_id) of every row of ``docs``."""
-    with scratch(docs.sparkSession):
-        prints = settle(fingerprints(docs, id_col, text_col, words), outer=True)
+def group_prints(prints: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """(id, fp, component_id) of every row of ``prints`` (id, fp), a written table."""
+    with scratch(prints.sparkSession):
         nodes = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
         roots = connected_components(GrayIndex(nodes).links(distance))
         rooted = settle(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
@@ -231,5 +246,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """(id, fp, component_id) of every row of ``docs``."""
+    return group_prints(settle(fingerprints(docs, id_col, text_col, words)), id_col, distance)
+
+
 def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
