@@ -14,9 +14,12 @@ from lexmill.functions.text import is_blank, trimmed_start
 UNSUPPORTED = ("IMAGE_PLACEHOLDER", "FOOTNOTE_PLACEHOLDER", "COMMENT_PLACEHOLDER", "TABLE_TRUNCATED", "TABLE_DEGRADED")
 
 
-def lines(df: DataFrame, md: str = "md", key: str = "doc_id") -> DataFrame:
-    """(key, line_no from 0, line); a final carriage return of a line goes."""
-    each = df.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(md), F.lit("")), "\n", -1)).alias("line_no", "line"))
+def lines(df: DataFrame, md: str = "md", key: str = "doc_id", carry: str | None = None) -> DataFrame:
+    """(key, line_no from 0, line); a final carriage return of a line goes.  The column ``carry`` stands on line 0 alone."""
+    kept = [carry] if carry else []
+    each = df.select(F.col(key), *kept, F.posexplode(F.split(F.coalesce(F.col(md), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    if carry:
+        each = each.withColumn(carry, F.when(F.col("line_no") == 0, F.col(carry)))
     return each.withColumn("line", F.regexp_replace("line", r"\r\z", ""))
 
 
@@ -46,9 +49,12 @@ def numbered_lines(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.withColumn("_inside", inside).drop("_run", "_first", "_on")
 
 
-def with_block_ids(df: DataFrame, md: str = "md", key: str = "doc_id") -> DataFrame:
-    """(key, marked_md, block_count): a mark follows each block, after a table's last row."""
-    rows = numbered_lines(lines(df, md, key), key)
+def with_block_ids(df: DataFrame, md: str = "md", key: str = "doc_id", carry: str | None = None) -> DataFrame:
+    """(key, marked_md, block_count, ``carry``): a mark follows each block, after a table's last row.
+
+    ``carry`` goes through the exchange once, so that a document's other columns need no join afterwards.
+    """
+    rows = numbered_lines(lines(df, md, key, carry), key)
     order = Window.partitionBy(key).orderBy("line_no")
     # a mark is due at the block's last line: for a table where the next line is outside it
     rows = rows.withColumn("_next", F.coalesce(F.lead("_inside").over(order), F.lit(False)))
@@ -58,7 +64,8 @@ def with_block_ids(df: DataFrame, md: str = "md", key: str = "doc_id") -> DataFr
     wide = F.when(F.col("block_no") > 9999, F.concat(F.lit("\n<!-- block_id=b"), F.col("block_no").cast("string"), F.lit(" type="), opener, F.lit(" -->"))).otherwise(mark)
     rows = rows.withColumn("_out", F.concat("line", F.when(due, wide).otherwise(F.lit(""))))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_out"))), lambda x: x["_out"]), "\n")
-    return rows.groupBy(key).agg(whole.alias("marked_md"), F.max("block_no").alias("block_count"))
+    kept = [F.first(carry, ignorenulls=True).alias(carry)] if carry else []
+    return rows.groupBy(key).agg(whole.alias("marked_md"), F.max("block_no").alias("block_count"), *kept)
 
 
 def block_counts(df: DataFrame, md: str = "md", key: str = "doc_id") -> DataFrame:

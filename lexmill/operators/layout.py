@@ -45,8 +45,8 @@ def cell_gaps(words: DataFrame, row: list[str]) -> DataFrame:
     width = F.avg((F.col("right") - F.col("left")) / F.greatest(F.length("text"), F.lit(1))).over(whole)
     df = words.withColumn("_gap", F.col("left") - F.lag("right").over(order)).withColumn("_limit", F.greatest(width * 3, F.lit(15.0)))
     df = df.withColumn("cluster", F.sum(F.when(F.col("_gap") > F.col("_limit"), 1).otherwise(0)).over(order)).withColumn("_n", F.count("*").over(whole))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "right", "text"))), lambda x: x["text"]), " ")
-    return df.where("_n > 1").groupBy(*row, "cluster").agg(F.min("left").alias("left"), F.max("right").alias("right"), text.alias("text"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "right", "text"))), lambda x: x["text"]), "")
+    return df.where("_n > 1").groupBy(*row, "cluster").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.trim(text).alias("text"))
 
 
 def two_column_pages(words: DataFrame) -> DataFrame:
@@ -92,6 +92,7 @@ class Line:
     level: int = 0
     number: int = -1
     merged: bool = False
+    breaks: bool = False
     cells: list[tuple[int, str]] = field(default_factory=list)
 
 
@@ -111,11 +112,11 @@ def rows_by_anchor(words: list[Word], limit: float) -> list[list[Word]]:
 
 
 def joined(row: list[Word]) -> str:
-    """The words of a row: no blank between wide characters, nor over a gap of half a character."""
+    """The words of a row: no blank between words with wide characters, nor over half a character of the word before."""
     out = row[0].text
     for before, word in zip(row, row[1:], strict=False):
-        wide = WIDE.match(before.text[-1:]) and WIDE.match(word.text[:1])
-        mean = (before.right - before.left + word.right - word.left) / max(1, len(before.text) + len(word.text))
+        wide = WIDE.search(before.text) and WIDE.search(word.text)
+        mean = (before.right - before.left) / len(before.text) if before.text else 6.0
         near = mean > 0 and (word.left - before.right) / mean <= 0.5
         out += word.text if wide or near else " " + word.text
     return out
@@ -139,6 +140,12 @@ def han_number(text: str) -> int:
     return int("".join(str(digit[c]) for c in text if c in digit) or 0) or 1
 
 
+def decimal_number(digits: str) -> int:
+    """A list number; 1 where it is no 32-bit number in ASCII digits."""
+    found = int(digits) if digits.isascii() and len(digits) <= 10 else 1
+    return found if found < 1 << 31 else 1
+
+
 #: (pattern, kind, level): the first that matches a line's beginning decides.
 _RULES = (
     (re.compile(rf"第[{HAN}百千零\d]+[章节]"), "heading", 3),
@@ -160,7 +167,7 @@ def classify(line: Line, size_before: float | None) -> None:
         if m := pattern.match(text):
             line.kind, line.level = kind, level
             if kind == "ordered":
-                line.number = int(m[1]) if m[1].isdecimal() else han_number(m[1])
+                line.number = decimal_number(m[1]) if m[1].isdecimal() else han_number(m[1])
             return
     larger = size_before is not None and len(text) < 30 and line.size > size_before * 1.3
     if (line.bold and len(text) <= 30) or larger:
@@ -282,70 +289,93 @@ def render_table(rows: list[Line]) -> tuple[str, bool]:
         out = [""] * width
         for c, t in r.cells:
             out[c] = f"{out[c]} {t}" if out[c] else t
-        grid.append(out)
+        grid.append([t.strip() for t in out])
     empty = sum(not x for r in grid for x in r)
     if width < 2 or empty > 0.4 * width * len(grid):
-        why = "表格列数不足2列" if width < 2 else "空单元格过多"
-        return "\n".join([f"<!-- TABLE_DEGRADED: {why}，退化为纯文本 -->", *[r.text for r in rows if r.text.strip()], ""]), True
-    head, body = list(grid[0]), grid[1:]
-    while body and sum(map(bool, body[0])) <= width // 2 + 1 and sum(map(bool, body[0])) < width:
+        why = "表格列数不足2列" if width < 2 else "空单元格超过40%"
+        return "\n".join([f"<!-- TABLE_DEGRADED: {why}，退化为纯文本 -->", *[r.text for r in rows if r.text.strip()], ""]) + "\n", True
+    head, body = grid[0], grid[1:]
+    while body and 0 < sum(map(bool, body[0])) <= width // 2 + 1:  # a sparse row goes on with the header
         head = [a + b for a, b in zip(head, body.pop(0), strict=True)]
-    row = lambda cells: "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
-    return "\n".join([row(head), row(["---"] * width), *map(row, body), ""]), False
+    row = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([row(head), row(["---"] * width), *map(row, body), ""]) + "\n", False
+
+
+_MARKS = {"ordered": [re.compile(p) for p in (rf"^（[{HAN}零\d]+）\s*", r"^\d+[.．、]\s*")], "bullet": [re.compile(r"^[•●○◆▪]\s*")]}
+
+
+class Pages:
+    """What the lines of a document have given so far: finished text, and the paragraph that may go on."""
+
+    def __init__(self, base: float):
+        self.base, self.out, self.held, self.page, self.degraded = base, "", "", 0, 0
+
+    def flush(self) -> None:
+        self.out += f"{self.held}\n\n" if self.held else ""
+        self.held = ""
+
+    def begin_page(self) -> None:
+        self.page += 1
+        if self.page > 1:
+            self.flush()
+            self.out += "\n"
+        self.out += f"<!-- PAGE_START: {self.page} -->\n"
+
+    def block(self, text: str) -> None:
+        """Something of its own: after a blank line, unless it is the first."""
+        fresh = not self.out and not self.held
+        self.flush()
+        self.out += text if fresh else "\n" + text
+
+    def body(self, line: Line) -> None:
+        if self.held and (self.held.rstrip()[-1:] in END_MARKS or line.left > self.base + 10):
+            self.flush()
+        wide = WIDE.match(self.held.rstrip()[-1:]) and WIDE.match(line.text.lstrip()[:1])
+        self.held = line.text if not self.held else self.held + line.text if wide else f"{self.held} {line.text}"
 
 
 def to_markdown(lines: list[Line]) -> tuple[str, int]:
-    """(Markdown, degraded tables) of a document's lines."""
-    body = [x for x in lines if not x.merged and x.kind == "body" and x.text]
-    margins = Counter(round(x.left) for x in body)
-    base = max(margins, key=margins.get) if margins else 0  # the first seen of equally frequent ones
-    out: list[str] = []
-    held, page, degraded, table = "", 0, 0, []
-
-    def flush() -> None:
-        nonlocal held
-        if held:
-            out.append(held + "\n")
-        held = ""
-
-    def close_table() -> None:
-        nonlocal table, degraded
-        if table:
-            text, bad = render_table(table)
-            out.append(text)
-            degraded += bad
-        table = []
-
-    for x in (x for x in lines if not x.merged):
-        if x.kind != "table":
-            close_table()
-        if x.page != page:
-            crosses = held and held[-1] not in END_MARKS
-            if not (crosses and x.kind == "body"):
-                flush()
-            page = x.page
-            if not held:
-                out.append(f"<!-- PAGE_START: {page} -->")
-        if x.kind == "empty":
-            continue
-        if x.kind == "body":
-            if held and (held[-1] in END_MARKS or x.left > base + 10):
-                flush()
-            wide = held and WIDE.match(held[-1:]) and WIDE.match(x.text[:1])
-            held = x.text if not held else held + x.text if wide else f"{held} {x.text}"
+    """(Markdown, degraded tables) of a document's lines, page breaks among them.
+
+    Two empty lines or a page's mark end a paragraph.  A run of empty lines that begins before a page break
+    takes the break with it, so that page has no mark.
+    """
+    margins = Counter(round(x.left) for x in lines if not x.merged and x.kind == "body" and x.text.strip())
+    made = Pages(max(margins, key=margins.get) if margins else 0)  # the first seen of equally frequent ones
+    at = 0
+    while at < len(lines):
+        line, at = lines[at], at + 1
+        if line.merged:
             continue
-        flush()
-        if x.kind == "heading":
-            out.append(f"{'#' * x.level} {x.text}\n")
-        elif x.kind == "ordered":
-            out.append(f"{x.number}. " + re.sub(rf"^(（[{HAN}零\d]+）|\d+[.．、])\s*", "", x.text) + "\n")
-        elif x.kind == "bullet":
-            out.append("- " + re.sub(r"^[•●○◆▪]\s*", "", x.text) + "\n")
+        if line.kind == "empty":
+            if line.breaks:
+                made.begin_page()
+                continue
+            blank = 1
+            while at < len(lines) and (lines[at].merged or lines[at].kind == "empty"):
+                blank += not lines[at].merged
+                at += 1
+            if blank > 1:
+                made.flush()
+        elif line.kind == "body":
+            made.body(line)
+        elif line.kind == "table":
+            end = at
+            while end < len(lines) and lines[end].kind == "table":
+                end += 1
+            text, bad = render_table(lines[at - 1 : end])
+            made.block(text)
+            made.degraded += bad
+            at = end
+        elif line.kind == "heading":
+            made.block(f"{'#' * line.level} {line.text}\n")
         else:
-            table.append(x)
-    close_table()
-    flush()
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip() + "\n", degraded
+            text = line.text
+            for mark in _MARKS[line.kind]:
+                text = mark.sub("", text)
+            made.block(f"{line.number}. {text}\n" if line.kind == "ordered" else f"- {text}\n")
+    made.flush()
+    return re.sub(r"\n{3,}", "\n\n", made.out).strip() + "\n", made.degraded
 
 
 def lines_of_page(words: list[Word], page: int) -> list[Line]:
@@ -364,7 +394,8 @@ def fold_document(pdf: pd.DataFrame) -> tuple[list[Line], int, str]:
         words = [w for w in words if w.text.strip()]
         found = lines_of_page(words, int(page))
         mark_tables(words, found)
-        lines += found
+        began = sum(x.breaks for x in lines)
+        lines += [Line("", 0.0, 0.0, 0.0, False, k, "empty", breaks=True) for k in range(began + 1, max(int(page), began + 1) + 1)] + found
     before: float | None = None
     for x in lines:
         if x.kind not in ("empty", "table") and not x.merged:
@@ -380,6 +411,7 @@ def page_lines(words: DataFrame) -> DataFrame:
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         lines = fold_document(pdf)[0]
+        lines = [x for x in lines if not x.breaks]
         rows = [(pdf["doc_id"].iloc[0], i, x.page, x.text, x.kind, x.level, x.number, x.merged) for i, x in enumerate(lines)]
         return pd.DataFrame(rows, columns=["doc_id", "line_no", "page", "text", "kind", "level", "number", "merged"])
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from lexmill.operators import blocks, govmeta, quality, watermark
 
 CODES = "array<string>"
+KEPT = ("removed_blocks", "gov_title", "gov_confidence", "gov_document", "quality_score", "quality_level", "import_recommendation", "codes")
 
 
 def process(docs: DataFrame, converter: str = "lexmill", latest: int = 2100) -> DataFrame:
     """``docs`` (doc_id, file_name, source_type, md, codes, ocr_used) -> markdown, metadata, quality.
 
-    Blank documents pass through unchanged.  One exchange by document (for the block marks).
+    Blank documents pass through unchanged.  One exchange by row (for the block marks): lines go through it
+    with the row's number, the other columns on the first line, so ids may repeat or be null.
     """
     df = docs.withColumn("codes", F.coalesce("codes", F.array().cast(CODES))).withColumn("ocr_used", F.coalesce("ocr_used", F.lit(False)))
     df = watermark.clean(df)
@@ -21,7 +23,6 @@ def process(docs: DataFrame, converter: str = "lexmill", latest: int = 2100) ->
     df = govmeta.extract(df, "clean_md", latest=latest)
     df = df.withColumn("numbered_official", F.col("gov_document") & F.col("gov_number").isNotNull()).withColumn("success", F.lit(True))
     df = quality.with_quality(df)
-    marked = blocks.with_block_ids(df.select("doc_id", "clean_md"), "clean_md")
     q = blocks.quoted
     topics = F.when(F.size("gov_topics") > 0, F.concat(F.lit('["'), F.array_join("gov_topics", '", "'), F.lit('"]')))
     front = blocks.front_matter(
@@ -42,20 +43,20 @@ def process(docs: DataFrame, converter: str = "lexmill", latest: int = 2100) ->
         ]
     )
     warnings = F.transform("codes", lambda c: F.struct(c.alias("code"), c.alias("message"), F.lit(None).cast("string").alias("location")))
-    out = df.join(marked, "doc_id")
-    whole = F.concat(front, blocks.agent_notice(warnings, F.col("ocr_used")), "marked_md")
     blank = F.trim(F.coalesce("md", F.lit(""))) == ""
-    return out.select(
+    made = F.struct(
         "doc_id",
-        F.when(blank, F.col("md")).otherwise(whole).alias("markdown"),
-        "block_count",
+        blank.alias("blank"),
+        F.when(blank, F.col("md")).otherwise(F.concat(front, blocks.agent_notice(warnings, F.col("ocr_used")))).alias("before"),
         blocks.unsupported_count(F.coalesce("clean_md", F.lit(""))).alias("unsupported_count"),
-        "removed_blocks",
-        "gov_title",
-        "gov_confidence",
-        "gov_document",
-        "quality_score",
-        "quality_level",
-        "import_recommendation",
-        "codes",
+        *KEPT,
+    )
+    numbered = df.select(F.monotonically_increasing_id().alias("row_no"), "clean_md", made.alias("made"))
+    out = blocks.with_block_ids(numbered, "clean_md", "row_no", "made")
+    return out.select(
+        "made.doc_id",
+        F.when(F.col("made.blank"), F.col("made.before")).otherwise(F.concat("made.before", "marked_md")).alias("markdown"),
+        "block_count",
+        "made.unsupported_count",
+        *[F.col(f"made.{c}") for c in KEPT],
     )

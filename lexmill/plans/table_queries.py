@@ -176,14 +176,14 @@ def two_column_pages(spark, sf):
     f"""WITH w AS (SELECT * FROM ({WORDS.format('lineitem')})), g AS (SELECT doc_id, page, top, text, "left", "right", count(*) OVER q AS n, avg(("right" - "left") / greatest(length(text), 1)) OVER q AS width,
     "left" - lag("right") OVER (PARTITION BY doc_id, page, top ORDER BY "left", "right", text) AS gap FROM w WINDOW q AS (PARTITION BY doc_id, page, top)),
     c AS (SELECT *, sum(CASE WHEN gap > greatest(width * 3, 15.0) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, top ORDER BY "left", "right", text ROWS UNBOUNDED PRECEDING) AS cluster FROM g WHERE n > 1)
-    SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(top AS DOUBLE) AS top, CAST(cluster AS BIGINT) AS cluster, CAST(min("left") AS DOUBLE) AS left_edge, CAST(max("right") AS DOUBLE) AS right_edge, count(*) AS n FROM c GROUP BY ALL""".replace(
+    SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(top AS DOUBLE) AS top, CAST(cluster AS BIGINT) AS cluster, CAST(min("left") AS DOUBLE) AS left_edge, CAST(max("right") AS DOUBLE) AS right_edge, trim(string_agg(text, '' ORDER BY "left", "right", text)) AS text FROM c GROUP BY doc_id, page, top, cluster""".replace(
         "AS left,", 'AS "left",'
     ).replace("AS right,", 'AS "right",')
 )
 def cell_clusters(spark, sf):
     df = layout.cell_gaps(words(spark, sf), ["doc_id", "page", "top"])
     return df.select(
-        "doc_id", F.col("page").cast("long").alias("page"), "top", F.col("cluster").cast("long").alias("cluster"), F.col("left").alias("left_edge"), F.col("right").alias("right_edge"), F.size(F.split("text", " ")).cast("long").alias("n")
+        "doc_id", F.col("page").cast("long").alias("page"), "top", F.col("cluster").cast("long").alias("cluster"), F.col("left").alias("left_edge"), F.col("right").alias("right_edge"), "text"
     )
 
 

@@ -54,15 +54,14 @@ def recognised(content: bytes) -> tuple[str | None, str | None]:
 
 
 def modernise(files: DataFrame) -> DataFrame:
-    """(path, content, error, code): legacy files in their new format."""
+    """(path, content, error): legacy files in their new format; a failed one has the error and no content."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [modern(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            codes = [None if e is None else "W_LEGACY_FALLBACK" for _, e in made]
-            yield pd.DataFrame({"path": pdf["path"], "content": [c for c, _ in made], "error": [e for _, e in made], "code": codes})
+            yield pd.DataFrame({"path": pdf["path"], "content": [c for c, _ in made], "error": [e for _, e in made]})
 
-    return files.select("path", "content").mapInPandas(work, "path string, content binary, error string, code string")
+    return files.select("path", "content").mapInPandas(work, "path string, content binary, error string")
 
 
 def recognise(files: DataFrame) -> DataFrame:

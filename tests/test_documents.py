@@ -150,6 +150,49 @@ def test_pages(spark):
     assert kinds["（二）item"] == "ordered"
 
 
+def line(text="", kind="body", left=50.0, **more):
+    return layout.Line(text, left, 0.0, 12.0, False, 1, kind, **more)
+
+
+def test_page_text():
+    mark = line(kind="empty", breaks=True)
+    lines = [mark, line("Head", "heading", level=3), line("一 句"), line("goes on."), line("next"), line(kind="empty"), line("still"), line(kind="empty"), line(kind="empty"), line("apart")]
+    lines += [line("（1）2. both", "ordered", number=1), line("• dot", "bullet"), mark, line("over the page"), line(kind="empty"), mark, line("unmarked", left=80.0)]
+    text, degraded = layout.to_markdown(lines)
+    want = "<!-- PAGE_START: 1 -->\n\n### Head\n一 句 goes on.\n\nnext still\n\napart\n\n1. both\n\n- dot\n\n<!-- PAGE_START: 2 -->\nover the page\n\nunmarked\n"
+    assert (text, degraded) == (want, 0)
+
+
+def test_page_tables():
+    row = lambda *cells: line(" ".join(cells), "table", cells=[(i, c) for i, c in enumerate(cells) if c])
+    assert layout.render_table([row("a", "b", "c"), row("x", "", "y"), row("1", "2", "3"), row("4", "", "6")])[0] == "| ax | b | cy |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 4 |  | 6 |\n\n"
+    assert layout.render_table([row("a", "b"), row("1", "2")])[0] == "| a1 | b2 |\n| --- | --- |\n\n"  # half of two columns and one more are both
+    text, bad = layout.render_table([row("a", "", ""), row("", "", "z")])
+    assert bad and text.startswith("<!-- TABLE_DEGRADED: 空单元格超过40%，退化为纯文本 -->\na")
+    assert layout.render_table([row("a"), row("b")])[1]
+
+
+def test_words_of_a_line_and_list_numbers():
+    word = lambda text, left, right: layout.Word(text, left, right, 0.0, 12.0, False)
+    assert layout.joined([word("中a", 0, 20), word("b文", 60, 80), word("x", 84, 90), word("y", 100, 110)]) == "中ab文x y"
+    for text, number in (("12345678901. item", 1), ("2147483648. item", 1), ("2147483647. item", 2147483647), ("（１２）item", 1), ("7、 item", 7)):
+        found = line(text)
+        layout.classify(found, None)
+        assert (found.kind, found.number) == ("ordered", number)
+
+
+def test_documents_that_share_an_id(spark):
+    from lexmill.plans.documents import process
+
+    rows = [(1, "# A\n\none"), (1, "# B\n\ntwo\n\nthree"), (None, "# C"), (2, None), (3, " ")]
+    df = spark.createDataFrame([(d, "a.docx", "Word", md, [], False) for d, md in rows], "doc_id long, file_name string, source_type string, md string, codes array<string>, ocr_used boolean")
+    got = process(df).collect()
+    assert sorted((str(r["doc_id"]), r["block_count"]) for r in got) == [("1", 2), ("1", 3), ("2", 0), ("3", 0), ("None", 1)]
+    assert all((r["markdown"] in (None, " ")) == (r["doc_id"] in (2, 3)) for r in got)
+    (two,) = [r["markdown"] for r in got if r["markdown"] and "three" in r["markdown"]]
+    assert "# B" in two and "# A" not in two and 'type=paragraph' in two
+
+
 def test_word_processor_round_trip(spark):
     md = "# 报告\n\n正文 **重点** 内容\n\n## 一、部分\n\n- a\n- b\n\n1. x\n\n| h | k |\n|---|---|\n| 1 | 2 |\n\n> q\n\n---"
     made = docx.render(one(spark, md))
