@@ -141,7 +141,7 @@ def gov_confidence(spark, sf):
 
 
 CODES = list(quality.WARNINGS) + ["W_UNHEARD_OF"]
-WARNING_ROWS = f"SELECT user_id, event_id, {'CASE CAST(event_id % ' + str(len(CODES)) + ' AS INT) ' + ' '.join(f'WHEN {i} THEN ' + chr(39) + c + chr(39) for i, c in enumerate(CODES)) + ' END'} AS code FROM events WHERE event_id % 3 = 0"
+WARNING_ROWS = f"SELECT user_id, event_id, {'CASE CAST(event_id % ' + str(len(CODES)) + ' AS INT) ' + ' '.join(f'WHEN {i} THEN ' + chr(39) + c + chr(39) for i, c in enumerate(CODES)) + ' END'} AS code FROM events"
 SEVERITY = "CASE " + " ".join(f"WHEN code = '{c}' THEN '{s}'" for c, (s, _) in quality.WARNINGS.items()) + " ELSE 'low' END"
 PENALTY = "CASE " + " ".join(f"WHEN code = '{c}' THEN {p}::DOUBLE" for c, (_, p) in quality.WARNINGS.items()) + " ELSE 0.01::DOUBLE END"
 
@@ -151,12 +151,6 @@ def warnings(spark, sf):
     return spark.sql(WARNING_ROWS.replace("FROM events", "FROM lexmill_events"))
 
 
-def all_warnings(spark, sf):
-    """Every event as a warning; ``warnings`` has the third of them that the SQL beside it names."""
-    table(spark, sf, "events").createOrReplaceTempView("lexmill_events")
-    return spark.sql(WARNING_ROWS.replace("FROM events", "FROM lexmill_events").removesuffix(" WHERE event_id % 3 = 0"))
-
-
 @query(
     f"WITH w AS (SELECT user_id, {SEVERITY} AS s FROM ({WARNING_ROWS})) SELECT user_id, count(*) FILTER (s = 'high') AS n_high, count(*) FILTER (s = 'medium') AS n_medium, count(*) FILTER (s = 'low') AS n_low, count(*) AS n_warnings FROM w GROUP BY user_id"
 )
@@ -181,7 +175,7 @@ def quality_scores(spark, sf):
 
 @query(None)
 def quality_report_json(spark, sf):
-    codes = quality.ordered_codes(all_warnings(spark, sf), "user_id", "event_id")
+    codes = quality.ordered_codes(warnings(spark, sf), "user_id", "event_id")
     df = codes.withColumn("success", F.lit(True)).withColumn("ocr_used", F.lit(False)).withColumn("numbered_official", F.lit(False))
     df = quality.with_quality(df)
     report = quality.report_json(F.col("codes"), F.col("quality_score"), F.col("quality_level"), F.col("import_recommendation"), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"))
