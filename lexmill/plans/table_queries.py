@@ -138,10 +138,10 @@ def semantic_tables(spark, sf):
 
 @query(
     r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*\*(.+?)\*\*\*', '\1', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '~~(.+?)~~', '\1', 'g'), '`(.+?)`', '\1', 'g')) AS plain
-    FROM documents WHERE contains(text, '**')"""
+    FROM documents"""
 )
 def inline_clean(spark, sf):
-    return table(spark, sf, "documents").where(F.col("text").contains("**")).select("doc_id", semantic.clean_inline(F.col("text")).alias("plain"))
+    return table(spark, sf, "documents").select("doc_id", semantic.clean_inline(F.col("text")).alias("plain"))
 
 
 @query(None)
