@@ -74,24 +74,30 @@ def severity_counts(warnings: DataFrame, key: str, code: str = "code") -> DataFr
     return warnings.groupBy(key).agg(*kinds, F.count("*").alias("n_warnings"))
 
 
-def report_json(codes: Column, score: Column, quality_level: Column, recommended: Column, official: Column, number: Column, checked_at: Column) -> Column:
-    """The quality report; fields that are null are left out."""
-    count = lambda s: F.size(F.filter(codes, lambda c: severity(c) == s))
+def report_json(
+    warnings: Column, score: Column, quality_level: Column, recommended: Column, official: Column, confidence: Column, checked_at: Column, source_file: Column | None = None, source_type: Column | None = None
+) -> Column:
+    """The quality report of ``warnings`` (array of code, message, location); fields that are null are left out."""
+    count = lambda s: F.size(F.filter(warnings, lambda w: severity(w["code"]) == s))
+    none = F.lit(None).cast("string")
+    entry = lambda w: F.struct(w["code"].alias("code"), severity(w["code"]).alias("severity"), w["message"].alias("message"), w["location"].alias("location"))
     return F.to_json(
         F.struct(
-            score.alias("qualityScore"),
-            quality_level.alias("qualityLevel"),
+            (none if source_file is None else source_file).alias("sourceFile"),
+            (none if source_type is None else source_type).alias("sourceType"),
+            score.alias("overallScore"),
+            quality_level.alias("overallLevel"),
             recommended.alias("importRecommendation"),
-            F.size(codes).alias("warningCount"),
-            *[count(s).alias(f"{s}Count") for s in ("high", "medium", "low")],
-            F.transform(codes, lambda c: F.struct(c.alias("code"), severity(c).alias("severity"))).alias("warnings"),
-            official.alias("isGovDocument"),
-            number.isNotNull().alias("hasDocumentNumber"),
+            official.alias("govDocument"),
+            confidence.alias("govConfidence"),
+            F.size(warnings).alias("totalWarnings"),
+            *[count(s).alias(f"{s}SeverityCount") for s in ("high", "medium", "low")],
+            F.transform(warnings, entry).alias("warnings"),
             checked_at.alias("checkedAt"),
         )
     )
 
 
-def meta_json(fields: dict[str, Column]) -> Column:
-    """Metadata as JSON: zeros and nulls are left out."""
-    return F.to_json(F.struct(*[(F.when(v.cast("string") != "0", v)).alias(k) for k, v in fields.items()]))
+def meta_json(fields: dict[str, Column], counts: dict[str, Column]) -> Column:
+    """Metadata as JSON: nulls are left out, and of ``counts`` the zeros."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in (fields | {k: F.when(v > 0, v) for k, v in counts.items()}).items()]))

@@ -58,9 +58,17 @@ def sheet_csv(spark, sf):
     return sheets.csv_texts(cells(spark, sf)).select("sheet", F.md5(F.col("csv").cast("binary")).alias("csv_md5"))
 
 
-@query(None)
+@query(
+    f"""WITH {GRID}, r AS (SELECT sheet_no, sheet, rows, row, bool_or(value <> '') AS filled, '| ' || string_agg(replace(replace(replace(value, '|', chr(92) || '|'), chr(10), ' '), chr(13), ''), ' | ' ORDER BY col) || ' |' || chr(10)
+    || CASE WHEN row = 0 THEN '| ' || string_agg('---', ' | ' ORDER BY col) || ' |' || chr(10) ELSE '' END AS line FROM d GROUP BY sheet_no, sheet, rows, row),
+    s AS (SELECT sheet_no, sheet, max(rows) + 1 AS n, coalesce(string_agg(line, '' ORDER BY row) FILTER (row < 50 AND filled), '') AS body FROM r GROUP BY sheet_no, sheet)
+    SELECT CAST(1 AS BIGINT) AS doc_id, count(*) FILTER (n > 50) AS n_tables, md5(string_agg('<!-- SHEET_START: ' || sheet || ' -->' || chr(10) || CASE WHEN sheet_no > 0 THEN chr(10) || '---' || chr(10) || chr(10) ELSE '' END || '## ' || sheet || chr(10) || chr(10) || body
+    || CASE WHEN n > 50 THEN chr(10) || '<!-- TABLE_TRUNCATED: 工作表「' || sheet || '」共有 ' || n || ' 行，仅展示前 50 行预览，完整数据见 tables/ 目录 -->' || chr(10) || '> *表格已截断：共 ' || n || ' 行，仅展示前 50 行*' || chr(10) ELSE '' END
+    || '<!-- SHEET_END -->' || chr(10), '' ORDER BY sheet_no)) AS md5 FROM s"""
+)
 def sheet_markdown(spark, sf):
-    return sheets.sheet_markdown(cells(spark, sf))
+    out = sheets.sheet_markdown(cells(spark, sf))
+    return out.select("doc_id", F.size("tables").cast("long").alias("n_tables"), F.md5(F.col("body").cast("binary")).alias("md5"))
 
 
 @query(
@@ -90,15 +98,15 @@ def list_numbering(spark, sf):
 
 @query(
     r"""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS body,
-    CASE WHEN turn % 2 = 1 THEN chr(10) || chr(10) || '> **备注**' || chr(10) || '> ' || role ELSE '' END AS notes FROM conversations WHERE trim(coalesce(text, '')) <> '')
-    SELECT conv_id, md5(string_agg('<!-- SLIDE_START: ' || n || ' -->' || chr(10) || chr(10) || '## 第 ' || n || ' 页' || chr(10) || chr(10) || body || notes || chr(10) || chr(10) || '<!-- SLIDE_END: ' || n || ' -->', chr(10) || chr(10) ORDER BY turn)) AS md5 FROM p GROUP BY conv_id"""
+    CASE WHEN turn % 2 = 1 THEN chr(10) || '> **备注**' || chr(10) || '> ' || role || chr(10) ELSE '' END AS notes FROM conversations WHERE trim(coalesce(text, '')) <> '')
+    SELECT conv_id, md5(string_agg('<!-- SLIDE_START: ' || n || ' -->' || chr(10) || '## 第 ' || n || ' 页' || chr(10) || chr(10) || body || chr(10) || notes || '<!-- SLIDE_END: ' || n || ' -->' || chr(10) || chr(10), '' ORDER BY turn)) AS md5 FROM p GROUP BY conv_id"""
 )
 def slides_markdown(spark, sf):
     df = table(spark, sf, "conversations").where("trim(coalesce(text, '')) <> ''")
     text = df.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("slide_no"), F.lit(0).alias("para_no"), F.lit("text").alias("kind"), "text")
     notes = df.where("turn % 2 = 1").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("slide_no"), F.lit(1).alias("para_no"), F.lit("notes").alias("kind"), F.col("role").alias("text"))
     out = slides.slides_markdown(text.unionByName(notes))
-    return out.select(F.col("doc_id").alias("conv_id"), F.md5(F.col("raw_md").cast("binary")).alias("md5"))
+    return out.select(F.col("doc_id").alias("conv_id"), F.md5(F.col("body").cast("binary")).alias("md5"))
 
 
 # ---- semantic blocks -------------------------------------------------------------------------

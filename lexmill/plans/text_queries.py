@@ -178,7 +178,9 @@ def quality_report_json(spark, sf):
     codes = quality.ordered_codes(warnings(spark, sf), "user_id", "event_id")
     df = codes.withColumn("success", F.lit(True)).withColumn("ocr_used", F.lit(False)).withColumn("numbered_official", F.lit(False))
     df = quality.with_quality(df)
-    report = quality.report_json(F.col("codes"), F.col("quality_score"), F.col("quality_level"), F.col("import_recommendation"), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    told = F.transform("codes", lambda c: F.struct(c.alias("code"), c.alias("message"), none.alias("location")))
+    report = quality.report_json(told, F.col("quality_score"), F.col("quality_level"), F.col("import_recommendation"), F.lit(False), F.lit(0.0), none)
     return df.select("user_id", report.alias("report"))
 
 

@@ -5,14 +5,17 @@ Where a tool is missing or fails, the row carries the error (and the code of a f
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 import subprocess
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 OFFICE_SECONDS, OCR_SECONDS = 120, 600
 NEW_EXTENSION = {".doc": "docx", ".xls": "xlsx", ".ppt": "pptx"}
@@ -53,24 +56,25 @@ def recognised(content: bytes) -> tuple[str | None, str | None]:
         return (text.read_text("utf-8"), None) if text.exists() else (None, error or "no output")
 
 
-def modernise(files: DataFrame) -> DataFrame:
-    """(path, content, error): legacy files in their new format; a failed one has the error and no content."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [modern(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"path": pdf["path"], "content": [c for c, _ in made], "error": [e for _, e in made]})
-
-    return files.select("path", "content").mapInPandas(work, "path string, content binary, error string")
+#: What the warnings of recognition say, and where.
+RECOGNISED, FAILED, WHERE = "PDF 为扫描件，已通过 OCR 提取文本，质量可能低于原生文本", "OCR 提取失败: ", "全文"
 
 
 def recognise(files: DataFrame) -> DataFrame:
-    """(path, raw_md, code): the text between its marks, with the code that tells of low confidence or failure."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [recognised(bytes(c)) for c in pdf["content"]]
-            texts = [None if t is None else f"<!-- OCR_TEXT_START -->\n{t}\n<!-- OCR_TEXT_END -->" for t, _ in made]
-            yield pd.DataFrame({"path": pdf["path"], "raw_md": texts, "code": ["W_OCR_FAILED" if e else "W_OCR_LOW_CONFIDENCE" for _, e in made]})
-
-    return files.select("path", "content").mapInPandas(work, "path string, raw_md string, code string")
+    """(path, raw_md, warnings, ocr_used, error, source_size, source_sha256): the text between its marks, or the error."""
+    schema = "path string, raw_md string, warnings array<struct<code:string,message:string,location:string>>, ocr_used boolean, error string, source_size bigint, source_sha256 string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def one(path: str, content: bytes) -> dict:
+        text, error = recognised(content)
+        code, message = ("W_OCR_LOW_CONFIDENCE", RECOGNISED) if error is None else ("W_OCR_FAILED", FAILED + error)
+        md = None if text is None else f"# {Path(path).stem}\n\n<!-- OCR_TEXT_START -->\n{text}\n<!-- OCR_TEXT_END -->\n"
+        facts = {"source_size": len(content), "source_sha256": hashlib.sha256(content).hexdigest() if content else None}
+        return {"path": path, "raw_md": md, "warnings": [{"code": code, "message": message, "location": WHERE}], "ocr_used": error is None, "error": error, **facts}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_pylist([one(path, content.as_py() or b"")], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(work, schema)

@@ -86,11 +86,33 @@ def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.input_file_name().alias("path"), F.col("value").alias("md"))
 
 
+#: What a parser may give of a file, besides its path; what it leaves out is null, empty or false.
+PARSED = {
+    "raw_md": "string",
+    "warnings": "array<struct<code:string,message:string,location:string>>",
+    "assets": "array<struct<name:string,data:binary>>",
+    "tables": "array<struct<name:string,csv:string>>",
+    "page_count": "int",
+    "sheet_count": "int",
+    "slide_count": "int",
+    "ocr_used": "boolean",
+    "source_size": "bigint",
+    "source_sha256": "string",
+    "error": "string",
+}
+
 Parser = Callable[[DataFrame], DataFrame]
 
 
+def parsed(df: DataFrame) -> DataFrame:
+    """``df`` (path and some of the columns of ``PARSED``) with all of them."""
+    empty = {"warnings": F.array(), "assets": F.array(), "tables": F.array(), "ocr_used": F.lit(False)}
+    held = {c: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t) for c, t in PARSED.items()}
+    return df.select("path", *[(F.coalesce(v, empty[c].cast(PARSED[c])) if c in empty else v).alias(c) for c, v in held.items()])
+
+
 class Parsers:
-    """Parsers by file type: each takes rows (path, content) and returns (path, raw_md, codes, error)."""
+    """Parsers by file type: each takes rows (path, content) and returns (path, and columns of ``PARSED``)."""
 
     def __init__(self) -> None:
         self.by_type: dict[str, Parser] = {}
@@ -104,9 +126,7 @@ class Parsers:
         """All files, each by its type's parser; a type without one gives a row with an error."""
         typed = files.withColumn("_type", file_type(F.col("path")))
         none = typed.where(~F.col("_type").isin(*self.by_type)) if self.by_type else typed
-        out = none.select(
-            "path", F.lit(None).cast("string").alias("raw_md"), F.array().cast("array<string>").alias("codes"), F.concat(F.lit("unsupported format: "), extension(F.col("path"))).alias("error")
-        )
+        out = parsed(none.select("path", F.concat(F.lit("不支持的文件格式: "), extension(F.col("path"))).alias("error")))
         for kind, parser in self.by_type.items():
-            out = out.unionByName(parser(typed.where(F.col("_type") == kind).drop("_type")))
+            out = out.unionByName(parsed(parser(typed.where(F.col("_type") == kind).drop("_type"))))
         return out

@@ -34,12 +34,14 @@ def _put(path: str, data: bytes) -> None:
 def package_files(docs: DataFrame, mode: str = "SingleMd") -> DataFrame:
     """(path, data) of every file of the packages.
 
-    ``docs``: stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv).
+    ``docs``: stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv),
+    and perhaps folder, in which the package lies.
     """
     if mode not in MODES:
         raise ValueError(mode)
     single = mode == "SingleMd"
-    base = F.lit("") if single else F.concat("stem", F.lit("/"))
+    folder = F.when(F.coalesce("folder", F.lit("")) != "", F.concat("folder", F.lit("/"))).otherwise(F.lit("")) if "folder" in docs.columns else F.lit("")
+    base = folder if single else F.concat(folder, "stem", F.lit("/"))
     one = lambda name, data: F.struct(F.concat(base, name).alias("path"), data.alias("data"))
     bom = F.concat(F.unhex(F.lit("EFBBBF")), F.col("markdown").cast("binary"))
     files = [one(F.concat("stem", F.lit(".md")), bom)] if single else [
