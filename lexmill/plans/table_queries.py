@@ -138,7 +138,11 @@ def semantic_lists(spark, sf):
     return found.select("doc_id", F.col("block").cast("long").alias("block"), F.array_join("items", "\n").alias("items"))
 
 
-@query(None)
+@query(
+    f"""WITH {SEM}, cut AS (SELECT doc_id, block, line_no, regexp_matches(t, '{semantic.SEPARATOR}') AS sep, list_transform(string_split(t, '|')[2:-2], lambda x: trim(x)) AS cells
+    FROM (SELECT doc_id, block, line_no, trim(regexp_replace(line, '\\s+$', '')) AS t FROM b2 WHERE kind = 'table'))
+    SELECT doc_id, CAST(block AS BIGINT) AS block, coalesce(string_agg(array_to_string(cells, chr(9)), chr(10) ORDER BY line_no) FILTER (NOT sep AND len(list_filter(cells, lambda x: x <> '')) > 0), '') AS "rows" FROM cut GROUP BY doc_id, block"""
+)
 def semantic_tables(spark, sf):
     found = semantic.blocks(composed(spark, sf)).where("block_type = 'table'")
     return found.select("doc_id", "block", F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n").alias("rows"))

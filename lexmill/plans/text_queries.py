@@ -173,7 +173,14 @@ def quality_scores(spark, sf):
     return quality.with_quality(df).select("user_id", "quality_score", "quality_level", "import_recommendation")
 
 
-@query(None)
+@query(
+    f"""WITH w AS (SELECT user_id, event_id, code, {PENALTY} AS p, {SEVERITY} AS s FROM ({WARNING_ROWS})),
+    q AS (SELECT user_id, greatest(least(list_reduce(list(p ORDER BY event_id, code), lambda a, x: a - x, 1.0::DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE) AS raw, count(*) AS n, count(*) FILTER (s = 'high') AS n_high,
+    count(*) FILTER (s = 'medium') AS n_medium, count(*) FILTER (s = 'low') AS n_low, string_agg('{{"code":"' || code || '","severity":"' || s || '","message":"' || code || '"}}', ',' ORDER BY event_id, code) AS told FROM w GROUP BY user_id)
+    SELECT user_id, '{{"overallScore":' || CAST(CAST(round_even(raw, 2) AS DOUBLE) AS VARCHAR) || ',"overallLevel":"' || CASE WHEN raw >= 0.9 THEN 'high' WHEN raw >= 0.7 THEN 'medium' WHEN raw >= 0.5 THEN 'low' ELSE 'poor' END
+    || '","importRecommendation":"' || CASE WHEN n_high > 0 OR round_even(raw, 2) < 0.7 THEN 'review' ELSE 'recommended' END || '","govDocument":false,"govConfidence":0.0,"totalWarnings":' || n
+    || ',"highSeverityCount":' || n_high || ',"mediumSeverityCount":' || n_medium || ',"lowSeverityCount":' || n_low || ',"warnings":[' || told || ']}}' AS report FROM q"""
+)
 def quality_report_json(spark, sf):
     codes = quality.ordered_codes(warnings(spark, sf), "user_id", "event_id")
     df = codes.withColumn("success", F.lit(True)).withColumn("ocr_used", F.lit(False)).withColumn("numbered_official", F.lit(False))
