@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import chat_format, decontamination, exact_dedup, lm_scoring, mixing, quality, secrets, simhash, url_filters
+from lexmill.llm import chat_format, decontamination, exact_dedup, lm_scoring, mixing, quality, runs, secrets, sharding, simhash, url_filters
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -58,6 +58,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), runs.planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
@@ -69,10 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op12_sharding": op12_sharding,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
+    "op12_sharding": sharding.SQL,
 }
