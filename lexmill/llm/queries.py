@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import chat_format, decontamination, exact_dedup, lm_scoring, mixing, quality, runs, secrets, sharding, simhash, url_filters
+from lexmill.llm import chat_format, decontamination, exact_dedup, lm_scoring, mixing, prefix_trie, quality, runs, secrets, sharding, simhash, url_filters
 from lexmill.llm.common import table
 from lexmill.llm.token_counts import count_tokens
 
@@ -58,6 +58,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sharding": op12_sharding,
     "op13_runs": op13_runs,
 }
@@ -85,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_sharding": sharding.SQL,
 }
