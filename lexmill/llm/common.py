@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
-#: Paths of the tables written in the open ``scratch`` blocks, the innermost block last.
-_blocks: list[list[str]] = []
+#: Paths of the tables written in the open ``scratch`` blocks of this thread, the innermost block last.
+_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,8 +57,9 @@ def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     df.write.mode("error").parquet(path)
     files, at = _path(spark, path)
     files.deleteOnExit(at)
-    if len(_blocks) > outer:
-        _blocks[-1 - outer].append(path)
+    blocks = _blocks.get()
+    if len(blocks) > outer:
+        blocks[-1 - outer].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,11 +67,11 @@ def settle(df: DataFrame, outer: bool = False) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """A block at whose end the tables settled in it are deleted, but those settled for the block around it."""
     mine: list[str] = []
-    _blocks.append(mine)
+    opened = _blocks.set((*_blocks.get(), mine))
     try:
         yield
     finally:
-        _blocks[:] = [b for b in _blocks if b is not mine]
+        _blocks.reset(opened)
         for path in mine:
             files, at = _path(spark, path)
             files.delete(at, True)

@@ -14,8 +14,8 @@ Texts are equal when identical after every ASCII blank is deleted.  Of a group t
 points stays, then the one with the smallest doc_id.
 
 Edge cases: null text counts as empty, so null, empty and blank texts are one group; a null doc_id
-comes last among ties; rows that agree in doc_id and length too are told apart by their place in the
-table's files, and one stays; an empty table or snapshot gives an empty result.
+comes last among ties; of rows that agree in doc_id and length too the one whose text has the least XXH64 stays,
+so only rows that are the same in all that are told apart by their place; an empty table or snapshot gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,18 +156,19 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, n_cp, sha) of numbered rows (rid, dup_doc)."""
+    """(rid, doc_id, n_cp, mark, sha) of numbered rows (rid, dup_doc)."""
     return rows.select(
         "rid",
         F.col("dup_doc.doc_id").alias("doc_id"),
         F.length(whole_text("dup_doc.text")).alias("n_cp"),
+        F.xxhash64(whole_text("dup_doc.text")).alias("mark"),
         F.unhex(F.sha2(normalised("dup_doc.text").cast("binary"), 256)).alias("sha"),
     )
 
 
 def _best() -> Column:
     """Sorts the row that stays first."""
-    return F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
+    return F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"), F.col("rid").alias("rid"))
 
 
 def _classes(keys: DataFrame) -> DataFrame:

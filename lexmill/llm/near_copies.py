@@ -16,8 +16,9 @@ for every fourth band, so rows are linear in a group's size.  Members that are n
 of their heads are linked only by another band or through other members.
 
 Edge cases: null text counts as empty; texts without a word share one shingle, so they are alike; fewer
-words than a shingle make one shingle; rows are told apart by their place in the table's files, so ids may
-repeat or be null (a row with an id is kept before one without); an empty table gives an empty result.
+words than a shingle make one shingle; ids may repeat or be null (a row with an id is kept before one without; of
+one id the longer text, then the one with the least XXH64); rows that agree in all that are told apart by their
+place in the table's files; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -172,8 +173,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, "near_doc")
     with scratch(docs.sparkSession):
         roots = near_roots(rows.select("rid", F.col("near_doc.text").alias("text")))
-        ids = rows.select("rid", F.col("near_doc.doc_id").alias("doc_id"))
-        named = settle(roots.join(ids, "rid").select("root", "rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid").alias("place")))
+        text = whole_text("near_doc.text")
+        ids = rows.select("rid", F.col("near_doc.doc_id").alias("doc_id"), (-F.length(text)).alias("less"), F.xxhash64(text).alias("mark"))
+        named = settle(roots.join(ids, "rid").select("root", "rid", F.struct(F.col("doc_id").isNull(), "doc_id", "less", "mark", "rid").alias("place")))
         first = named.groupBy("root").agg(F.min("place").alias("first"))
         gone = settle(named.join(first, "root").where(F.col("rid") != F.col("first.rid")).select("rid"), outer=True)
     return without(rows, gone).select("near_doc.*")

@@ -204,3 +204,14 @@ def test_taken_comes_near_the_target(spark):
     plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     for r in plan.groupBy("source_size", "target").sum("taken").collect():
         assert r["sum(taken)"] == pytest.approx(r["target"], rel=0.02)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_equal_rows_but_for_blanks_keep_one_text(spark, tmp_path, order):
+    from lexmill.llm import exact_dedup as X
+
+    rows = [(5, "a b"), (5, "a\tb"), (5, "a\nb"), (6, "ab")]
+    spark.createDataFrame(rows[::order], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    (kept,) = X.drop_copies(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    marks = {r["text"]: r["m"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) as m").collect()}
+    assert kept["text"] == min(("a b", "a\tb", "a\nb"), key=marks.get)

@@ -85,3 +85,13 @@ def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(20)], "doc_id long, text string")
     assert N.drop_near_copies(df).count() == 3
     assert len(list(tmp_path.glob("*/*"))) == 2  # the numbered rows and those that go
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_ties_follow_the_text_not_the_place(spark, tmp_path, order):
+    t, u = (" ".join(f"{c}{i}" for i in range(80)) for c in "tu")
+    rows = [(7, t), (7, t + " tail"), (7, t + " rest"), (8, u + " b"), (8, u + " a")]
+    spark.createDataFrame(rows[::order], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    kept = {r["doc_id"]: r["text"] for r in N.drop_near_copies(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    marks = {r["text"]: r["m"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) as m").collect()}
+    assert kept == {7: min((t + " tail", t + " rest"), key=marks.get), 8: min((u + " b", u + " a"), key=marks.get)}
