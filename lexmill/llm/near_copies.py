@@ -12,8 +12,12 @@ then the other candidates, but only between documents that the first round has n
 component add nothing to it.
 
 In a band, a group of up to ``FEW`` documents is compared pair by pair; a larger one with a head drawn anew
-for every fourth band, so rows are linear in a group's size.  Members that are near each other but to none
-of their heads are linked only by another band or through other members.
+for every fourth band, so rows are linear in a group's size.  Where that leaves a large group in more than one
+component, its members are searched exactly, by prefixes: with shingles in order of how many of these documents hold them, two
+sets at 0.8 share one of their rarest fifths.  Documents that share a rare one (``RARE`` at most) are paired, if what stands
+behind it in both sets suffices; for the others heads are drawn from a shingle's documents and compared with all of them,
+round after round, until its documents are one component or none is left that could pair.  What a template has in common
+stands at the ends of the sets, so documents that share nothing else aren't compared.
 
 Edge cases: null text counts as empty; texts without a word share one shingle, so they are alike; fewer
 words than a shingle make one shingle; ids may repeat or be null (a row with an id is kept before one without; of
@@ -28,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import numbered, scratch, settle, whole_text, without
@@ -37,6 +41,8 @@ from lexmill.llm.simhash import Bits, group_prints, shingle_hashes
 
 WORDS, SIMILARITY, DISTANCE = 5, 0.8, 2
 BANDS, ROWS, FEW, HEADS = 16, 4, 8, 4
+#: Documents of a rare shingle; heads of a frequent one's documents in a round.
+RARE, DRAWN = 32, 16
 ALIKE = 36
 #: Shingles whose minima numpy takes at once, and texts whose results are held at once.
 BLOCK, TEXTS = 4096, 256
@@ -120,8 +126,8 @@ def _pairs(*parts: DataFrame) -> DataFrame:
     return settle(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def candidates(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs of the first round, and those of the second, of ``seen`` (n, fp, bands)."""
+def candidates(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs of the first round, those of the second, and (h, n) of the large groups, of ``seen`` (n, fp, bands)."""
     held = settle(seen.select("n", F.posexplode("bands").alias("band", "h")))
     head = F.min_by("n", F.xxhash64("n", F.col("band") % HEADS))
     groups = held.groupBy("h").agg(F.min("n").alias("first"), head.alias("head"), F.count("*").alias("size"))
@@ -130,7 +136,62 @@ def candidates(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = _pairs(placed.select("first", "n"), index.select("component_id", "n"))
     few = placed.where(F.col("size") <= FEW)
     each = few.select("h", F.col("n").alias("x")).join(few.select("h", F.col("n").alias("y")), "h").where("x < y").select("x", "y")
-    return stars, _pairs(each, placed.where(F.col("size") > FEW).select("head", "n"))
+    large = placed.where(F.col("size") > FEW)
+    return stars, _pairs(each, large.select("head", "n")), large.select("h", "n")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "n") -> DataFrame:
+    """``rows`` with the ``root`` of their node; a node without links is its own."""
+    known = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return rows.join(known, node, "left").withColumn("root", F.coalesce("_root", node)).drop("_root")
+
+
+def crowd_of(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(n): the members of large groups that are in more than one component; a written table."""
+    placed = settle(_rooted(large, roots))
+    apart = placed.groupBy("h").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("h")
+    return settle(placed.join(apart, "h").select("n").distinct())
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(tok, df, n, size, at): each set's rarest shingles, as many as two sets at ``SIMILARITY`` must share one of; a written table."""
+    each = sets.select("n", F.size("s").alias("size"), F.explode("s").alias("tok"))
+    ranked = each.join(each.groupBy("tok").agg(F.count("*").alias("df")), "tok").groupBy("n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
+    many = (F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1).cast("int")
+    first = ranked.select("n", "size", F.posexplode(F.slice("s", F.lit(1), many)).alias("at", "x"))
+    return settle(first.select("x.tok", "x.df", "n", "size", "at").where("df > 1"))
+
+
+def _enough(left: Column, sizes: Column) -> Column:
+    """Whether ``left`` common shingles at most can make two sets of together ``sizes`` similar."""
+    return left >= sizes * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+
+
+def prefix_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b) of the entries (tok, n, size, at, root) of one shingle whose sets can be similar if it is their first common one; a written table."""
+    both = x.select("tok", *[F.col(c).alias(f"x_{c}") for c in ("n", "size", "at", "root")]).join(y.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("n", "size", "at", "root")]), "tok")
+    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    can = (F.col("x_root") != F.col("y_root")) & _enough(left, F.col("x_size") + F.col("y_size"))
+    return _pairs(both.where(can).select("x_n", "y_n"))
+
+
+def prefix_links(entries: DataFrame, seen: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links of all similar pairs of the sets that ``entries`` are prefixes of, besides ``links``, whose components ``roots`` are."""
+    rare = settle(_rooted(entries.where(F.col("df") <= RARE), roots))
+    found = [links, similar(plausible(prefix_pairs(rare, rare), seen), sets)]
+    live, turn = entries.where(F.col("df") > RARE), 0
+    while True:
+        roots = connected_components(reduce(DataFrame.union, found))
+        rooted = settle(_rooted(live, roots))
+        lists = rooted.groupBy("tok").agg(F.min("size").alias("least"), (F.min("root") < F.max("root")).alias("apart")).where("apart").select("tok", "least")
+        near = F.greatest("least", F.ceil(F.col("size") * SIMILARITY - 1e-9))
+        live = settle(rooted.join(lists, "tok").where(_enough(F.col("size") - F.col("at"), F.col("size") + near)).drop("least"))
+        if live.isEmpty():
+            return reduce(DataFrame.union, found)
+        drawn = F.array_distinct(F.array(*[F.min_by("n", F.xxhash64("n", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]))
+        heads = settle(live.groupBy("tok").agg(drawn.alias("heads")).select("tok", F.explode("heads").alias("n")))
+        found.append(similar(plausible(prefix_pairs(live.join(heads, ["tok", "n"], "left_semi"), live), seen), sets))
+        live, turn = live.join(heads, ["tok", "n"], "left_anti").drop("root"), turn + 1
 
 
 def plausible(pairs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -154,7 +215,8 @@ def near_roots(rows: DataFrame) -> DataFrame:
     """(rid, root) of the texts (rid, text) that have a near copy; root names their component; a written table."""
     with scratch(rows.sparkSession):
         seen = looked(rows)
-        stars, rest = (plausible(pairs, seen) for pairs in candidates(seen))
+        stars, rest, large = candidates(seen)
+        stars, rest = plausible(stars, seen), plausible(rest, seen)
         wanted = stars.union(rest).select(F.explode(F.array("a", "b")).alias("n")).distinct()
         names = settle(seen.select("n", "rid").join(wanted, "n", "left_semi"))
         sets = shingle_sets(rows.join(names, "rid").select("n", "text"))
@@ -164,8 +226,15 @@ def near_roots(rows: DataFrame) -> DataFrame:
         apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
         rest = settle(rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b"))
         needed = rest.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-        roots = connected_components(links.union(similar(rest, sets.join(needed, "n", "left_semi"))))
-        return settle(roots.join(names, roots["node"] == names["n"]).select("rid", "root"), outer=True)
+        links = links.union(similar(rest, sets.join(needed, "n", "left_semi")))
+        roots = connected_components(links)
+        crowd = crowd_of(large, roots)
+        if not crowd.isEmpty():
+            crowd = settle(seen.select("n", "rid").join(crowd, "n"))
+            sets = shingle_sets(rows.join(crowd, "rid").select("n", "text"))
+            roots = connected_components(prefix_links(prefixes(sets), seen, sets, links, roots))
+        found = roots.select("root", F.col("node").alias("n")).join(seen.select("n", "rid"), "n")
+        return settle(found.select("rid", "root"), outer=True)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -95,3 +95,42 @@ def test_ties_follow_the_text_not_the_place(spark, tmp_path, order):
     kept = {r["doc_id"]: r["text"] for r in N.drop_near_copies(spark.read.parquet(str(tmp_path / "docs"))).collect()}
     marks = {r["text"]: r["m"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) as m").collect()}
     assert kept == {7: min((t + " tail", t + " rest"), key=marks.get), 8: min((u + " b", u + " a"), key=marks.get)}
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_pairs_within_a_template_are_found(spark, monkeypatch, apart):
+    """600 documents share a template: two of them are at 0.79 (or, over the template alone, at 0.75), those of a pair above 0.8."""
+    rng = random.Random(12)
+    template, texts = [f"t{i}" for i in range(400)], []
+    for k in range(300):
+        for half in range(2):
+            extra = [f"p{k}x{i}" for i in range(10 if apart else 18)] + [f"q{k}h{half}x{i}" for i in range(43 if apart else 48)]
+            texts.append(" ".join(template + extra))
+    rng.shuffle(texts)
+    assert jaccard(*[t for t in texts if "p0x0 " in t]) >= 0.8 > jaccard(next(t for t in texts if "p0x0 " in t), next(t for t in texts if "p1x0 " in t))
+    kept = N.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(kept) == 300 and len({r["text"].split("p")[1].split("x")[0] for r in kept}) == 300
+
+
+def test_frequent_shingles_in_prefixes_are_searched_in_rounds(spark, monkeypatch):
+    """Documents of different sizes that consist of shared passages: prefixes hold frequent shingles, and heads are drawn."""
+    monkeypatch.setattr(N, "RARE", 1)
+    monkeypatch.setattr(N, "DRAWN", 2)
+    monkeypatch.setattr(N, "FEW", 2)
+    rng = random.Random(13)
+    passages = [" ".join(f"g{p}w{i}" for i in range(60)) for p in range(8)]
+    texts = [" ".join(rng.choice(passages) for _ in range(rng.randint(2, 6))) + f" own{i} " + " ".join(f"o{i}n{j}" for j in range(rng.choice([0, 3, 20]))) for i in range(70)]
+    root = list(range(70))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(70):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = N.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i in range(70) if find(i) == i]
