@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import layout
 from lexmill.operators import page_tables as P
+from lexmill.operators import page_text
 from lexmill.plans.registry import query, table
 from lexmill.plans.table_queries import WORDS
 
@@ -92,11 +93,62 @@ _MARKED = """, u AS (
     SELECT tl.doc_id, tl.page, tl.line_no, min(row_no) AS row_no FROM tl JOIN v ON tl.doc_id = v.doc_id AND tl.page = v.page AND tl.top BETWEEN y - median * 0.6 AND y + median * 0.6 GROUP BY ALL)
 ), i AS (SELECT DISTINCT tl.doc_id, tl.page, tl.line_no FROM tl JOIN v ON tl.doc_id = v.doc_id AND tl.page = v.page AND tl.top BETWEEN low AND high
 ), j AS (
-  SELECT tl.doc_id, tl.page, tl.line_no, tl.text, first, v.text AS row_text, v.cells, i.line_no IS NOT NULL AND first IS NULL AND length(tl.text) < 60 AND NOT regexp_matches(tl.text, '[。！？.?!」』】…；;]$') AS alone
+  SELECT tl.doc_id, tl.page, tl.line_no, tl.text, h.row_no, first, v.text AS row_text, v.cells, i.line_no IS NOT NULL AND first IS NULL AND length(tl.text) < 60 AND NOT regexp_matches(tl.text, '[。！？.?!」』】…；;]$') AS alone
   FROM tl LEFT JOIN h USING (doc_id, page, line_no) LEFT JOIN v ON h.doc_id = v.doc_id AND h.page = v.page AND h.row_no = v.row_no LEFT JOIN i ON i.doc_id = tl.doc_id AND i.page = tl.page AND i.line_no = tl.line_no
 )"""
 
 
+# Here no word begins like a heading or a list, and no line is empty but the pages' marks: the SQL leaves these rules out.
+_KINDS = """, seq AS (
+  SELECT j.doc_id, j.page, j.line_no, CASE WHEN first THEN row_text ELSE j.text END AS text, CASE WHEN first OR alone THEN 'table' ELSE 'body' END AS kind, coalesce(NOT first, FALSE) AS merged, left_edge, size, bold
+  FROM j JOIN tl USING (doc_id, page, line_no)
+  UNION ALL SELECT doc_id, unnest(range(above + 1, page + 1)), -1, '', 'empty', FALSE, 0, 0, FALSE FROM (SELECT doc_id, page, lag(page, 1, 0) OVER (PARTITION BY doc_id ORDER BY page) AS above FROM s)
+), ki AS (
+  SELECT doc_id, page, line_no, text, merged, left_edge, size, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS i,
+    CASE WHEN kind <> 'body' THEN kind WHEN (bold AND length(text) <= 30) OR (length(text) < 30 AND size > was * 1.3) THEN 'heading' ELSE 'body' END AS kind
+  FROM (SELECT *, last_value(CASE WHEN kind = 'body' THEN size END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM seq)
+), st AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS head, FALSE AS taken, CAST(0 AS DOUBLE) AS head_size, CAST(NULL AS BIGINT) AS owner FROM ki
+  UNION ALL SELECT doc_id, i, CASE WHEN goes OR waits THEN head WHEN begins THEN i ELSE 0 END, goes OR (waits AND taken), CASE WHEN goes OR waits THEN head_size WHEN begins THEN size ELSE 0 END, CASE WHEN goes THEN head END FROM (
+    SELECT ki.doc_id, ki.i, head, taken, head_size, size, head > 0 AND kind = 'empty' AND NOT taken AS waits, kind = 'heading' AND NOT merged AS begins,
+      head > 0 AND (kind = 'heading' OR (kind = 'body' AND (head_size <= 0 OR size <= 0 OR abs(head_size - size) / head_size <= 0.15))) AS goes
+    FROM st JOIN ki ON ki.doc_id = st.doc_id AND ki.i = st.i + 1)
+), fl AS (
+  SELECT ki.* EXCLUDE (text, merged), coalesce(whole, text) AS text, merged OR owner IS NOT NULL AS merged FROM ki JOIN st USING (doc_id, i)
+  LEFT JOIN (SELECT ki.doc_id, coalesce(owner, i) AS i, string_agg(text, ' ' ORDER BY i) AS whole FROM ki JOIN st USING (doc_id, i) WHERE owner IS NOT NULL OR (kind = 'heading' AND NOT merged) GROUP BY ALL) USING (doc_id, i)
+)"""
+
+_TABLES = """, tr AS (
+  SELECT doc_id, page, line_no, i, text, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY i), '') <> 'table' AS opens FROM fl) WHERE kind = 'table'
+), tc AS (
+  SELECT doc_id, run, i, col, trim(string_agg(text, ' ' ORDER BY cell_no)) AS text FROM (
+    SELECT tr.doc_id, run, i, col, cell_no, f.text FROM tr JOIN j USING (doc_id, page, line_no) JOIN f ON f.doc_id = j.doc_id AND f.page = j.page AND f.row_no = j.row_no WHERE first
+    UNION ALL SELECT doc_id, run, i, 0, 0, tr.text FROM tr JOIN j USING (doc_id, page, line_no) WHERE first IS NULL) GROUP BY ALL
+), tn AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS nth FROM (SELECT doc_id, run, i, count(*) FILTER (text <> '') AS filled, max(col) + 1 AS w FROM tc GROUP BY ALL)
+), tw AS (SELECT doc_id, run, max(w) AS width, count(*) AS n, sum(filled) AS filled, min(i) AS i FROM tn GROUP BY ALL
+), th AS (SELECT tw.doc_id, tw.run, coalesce(min(CASE WHEN nth > 1 AND NOT (tn.filled > 0 AND tn.filled <= width // 2 + 1) THEN nth END) - 1, max(n)) AS header FROM tn JOIN tw USING (doc_id, run) GROUP BY ALL
+), tg AS (
+  SELECT q.doc_id, q.run, greatest(nth, header) AS line, c, string_agg(coalesce(tc.text, ''), '' ORDER BY nth) AS text
+  FROM (SELECT tn.doc_id, tn.run, tn.i, nth, header, unnest(range(width)) AS c FROM tn JOIN tw USING (doc_id, run) JOIN th USING (doc_id, run)) q LEFT JOIN tc ON tc.doc_id = q.doc_id AND tc.run = q.run AND tc.i = q.i AND tc.col = q.c
+  GROUP BY ALL
+), tx AS (
+  SELECT tw.doc_id, tw.i, width < 2 OR width * n - filled > 0.4 * width * n AS degraded, width < 2 AS narrow, plain,
+    head || chr(10) || '| ' || array_to_string(list_transform(range(width), lambda z: '---'), ' | ') || ' |' || chr(10) || coalesce(rest || chr(10), '') || chr(10) AS whole
+  FROM tw JOIN (SELECT doc_id, run, string_agg(text || chr(10), '' ORDER BY i) AS plain FROM tr GROUP BY ALL) USING (doc_id, run) JOIN (
+    SELECT doc_id, run, string_agg(said, chr(10) ORDER BY line) FILTER (line = header) AS head, string_agg(said, chr(10) ORDER BY line) FILTER (line > header) AS rest
+    FROM (SELECT doc_id, run, line, '| ' || string_agg(text, ' | ' ORDER BY c) || ' |' AS said FROM tg GROUP BY ALL) JOIN th USING (doc_id, run) GROUP BY ALL) USING (doc_id, run)
+), bm AS (
+  SELECT doc_id, arg_min(margin, (-n, first)) AS base FROM (SELECT doc_id, round_even(left_edge, 0) AS margin, count(*) AS n, min(i) AS first FROM fl WHERE NOT merged AND kind = 'body' GROUP BY ALL) GROUP BY ALL
+), ev AS (
+  SELECT fl.doc_id, fl.i, kind, was, degraded, CASE WHEN degraded THEN '<!-- TABLE_DEGRADED: ' || CASE WHEN narrow THEN '表格列数不足2列' ELSE '空单元格超过40%' END || '，退化为纯文本 -->' || chr(10) || plain || chr(10) ELSE whole END AS said, text,
+    row_number() OVER (PARTITION BY fl.doc_id, kind ORDER BY fl.i) AS nth, was = 'body' AND kind = 'body' AND NOT (ends OR left_edge > coalesce(base, 0) + 10) AS goes_on
+  FROM (SELECT *, coalesce(lag(kind) OVER o, '') AS was, coalesce(regexp_matches(lag(text) OVER o, '[。！？.?!」』】…；;]$'), FALSE) AS ends FROM fl WHERE NOT merged WINDOW o AS (PARTITION BY doc_id ORDER BY i)) fl
+  LEFT JOIN tx ON tx.doc_id = fl.doc_id AND tx.i = fl.i LEFT JOIN bm ON bm.doc_id = fl.doc_id WHERE kind <> 'table' OR whole IS NOT NULL
+)"""
+
+
 @query(_WORDS + _LINES + " SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, text, left_edge, top AS top_mean, size AS size_mean, bold FROM tl")
 def page_text_lines(spark, sf):
     """Words into lines by the first word's limit, with what each line says and where it stands."""
@@ -141,3 +193,21 @@ def page_table_lines(spark, sf):
     lines = _page(P.page_lines(words(spark, sf)))
     cells = F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["column"].cast("string"), c["text"])), "|")
     return lines.select("doc_id", "page", F.col("line_no").cast("long").alias("line_no"), "text", "kind", "merged", cells.alias("cells"))
+
+
+@query(_WORDS + _LINES + _ROWS + _REGIONS + _CELLS + _MARKED + _KINDS + """ SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, text, kind, CASE WHEN kind = 'heading' THEN 4 ELSE 0 END AS level, -1 AS number, merged FROM fl WHERE line_no >= 0""")
+def page_lines(spark, sf):
+    """The lines of documents in their kinds, headings with the lines that go on with them."""
+    lines = page_text.page_lines(words(spark, sf))
+    return lines.withColumns({"page": F.col("page").cast("long"), "line_no": F.col("line_no").cast("long")})
+
+
+@query(
+    _WORDS + _LINES + _ROWS + _REGIONS + _CELLS + _MARKED + _KINDS + _TABLES
+    + r""" SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN was = 'body' AND NOT goes_on THEN chr(10) || chr(10) ELSE '' END || CASE kind WHEN 'body' THEN CASE WHEN goes_on THEN ' ' ELSE '' END || text
+      WHEN 'empty' THEN CASE WHEN nth > 1 THEN chr(10) ELSE '' END || '<!-- PAGE_START: ' || nth || ' -->' || chr(10) WHEN 'table' THEN chr(10) || said ELSE chr(10) || '#### ' || text || chr(10) END, '' ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) AS raw_md,
+    CAST(count(*) FILTER (degraded) AS INT) AS degraded_tables FROM ev GROUP BY doc_id"""
+)
+def page_markdown(spark, sf):
+    """Documents of positioned words as Markdown."""
+    return page_text.page_markdown(words(spark, sf))

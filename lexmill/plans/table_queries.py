@@ -199,16 +199,6 @@ def cell_clusters(spark, sf):
     )
 
 
-@query(None)
-def page_lines(spark, sf):
-    return layout.page_lines(words(spark, sf))
-
-
-@query(None)
-def page_markdown(spark, sf):
-    return layout.page_markdown(words(spark, sf))
-
-
 # ---- files and batches -----------------------------------------------------------------------
 
 PATHS = "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN '/in/.hidden/' ELSE '/in/d' || CAST(page_id % 7 AS STRING) || '/' END || CAST(page_id % 40 AS STRING) || CASE CAST(page_id % 8 AS INT) WHEN 0 THEN '.docx' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' WHEN 3 THEN '.xlsx' WHEN 4 THEN '.html' WHEN 5 THEN '' WHEN 6 THEN '.md' ELSE '.pptx' END AS path FROM {}"
