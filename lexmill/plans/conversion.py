@@ -79,6 +79,19 @@ def default_parsers() -> files.Parsers:
     return made
 
 
+def each_path_once(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, content) with one row for each path: of a repeated one the content of least digest, a null last.
+
+    Paths are counted alone; contents are only shuffled where a path comes twice.
+    """
+    again = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    if again.isEmpty():
+        return rows.select("path", "content")
+    same = rows["path"].eqNullSafe(again["path"])
+    first = F.min_by(F.struct("content"), F.struct(F.col("content").isNull(), F.sha2("content", 256)))["content"]
+    return rows.join(again, same, "left_anti").select("path", "content").union(rows.join(again, same, "left_semi").groupBy("path").agg(first.alias("content")).select("path", "content"))
+
+
 def convert(rows: DataFrame, parsers: files.Parsers | None = None, limits: Limits | None = None, root: str | None = None, at: str | None = None) -> DataFrame:
     """Rows (path, content) to documents: path, status, error, folder, stem, markdown, meta_json, quality_json, assets, tables.
 
@@ -86,7 +99,7 @@ def convert(rows: DataFrame, parsers: files.Parsers | None = None, limits: Limit
     A repeated path is one document; a null path or content gives an error or an empty file; an empty table gives no rows.
     """
     limits, at = limits or Limits(), at or datetime.now().astimezone().isoformat()
-    read = (parsers or default_parsers()).parse(rows.select("path", "content"))
+    read = (parsers or default_parsers()).parse(each_path_once(rows))
     path = F.col("path")
     read = read.withColumn("file_name", file_name(path)).withColumn("source_type", file_type(path)).withColumn("doc_id", path).withColumnRenamed("raw_md", "md")
     failed = F.col("error").isNotNull() | F.col("md").isNull()
@@ -116,10 +129,11 @@ def convert(rows: DataFrame, parsers: files.Parsers | None = None, limits: Limit
     )
 
 
-def run(rows: DataFrame, out: str, limits: Limits | None = None, root: str | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Convert and write packages under ``out``, a mount that all executors share: (path, status, error), and (path, bytes) written.
+def run(rows: DataFrame, out: str, limits: Limits | None = None, root: str | None = None, at: str | None = None, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Convert and write packages under ``out``, a folder or URI that all executors reach: (path, status, error), and (path, bytes) written.
 
-    Documents are written once as Parquet beside the packages, so neither result reads the files again.
+    Documents are written once as Parquet beside the packages, so neither result reads the files again.  A run of a ``name`` that was
+    committed before writes nothing (``sinks.write_packages``).
     """
     limits = limits or Limits()
     held = f"{out.rstrip('/')}/.documents"
@@ -129,4 +143,4 @@ def run(rows: DataFrame, out: str, limits: Limits | None = None, root: str | Non
         bad = docs.where("status = 'Failed'").select("path", "error").first()
         if bad is not None:
             raise RuntimeError(f"{bad['path']}: {bad['error']}")
-    return docs.select("path", "status", "error"), sinks.write_packages(docs.where("status = 'Done'"), out, limits.package_mode)
+    return docs.select("path", "status", "error"), sinks.write_packages(docs.where("status = 'Done'"), out, limits.package_mode, name)

@@ -1,13 +1,21 @@
-"""Results out: tables by default, packages of files on request."""
+"""Results out: tables by default, packages of files on request.
+
+Packages are committed like tables.  Names are settled before anything is written, so no two documents share a file.  Each task
+attempt writes into a folder of its own and says what it wrote; Spark commits what the successful attempts said, the manifest.
+Only files of the manifest are moved to their places, by tasks that may run again; then the attempts' folders go.  A run that has
+its manifest and its mark isn't written a second time.
+
+Files go through Arrow's file systems: local folders that all executors share, HDFS (by libhdfs), S3 and others, named by URI.
+"""
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("SingleMd", "HybridPackage")
@@ -18,49 +26,137 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def _put(path: str, data: bytes) -> None:
-    """Whole or not at all: a file of its own, then a rename."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    held = f"{path}.{uuid.uuid4().hex}.part"
-    try:
-        with open(held, "wb") as f:
-            f.write(data)
-        os.replace(held, path)
-    finally:
-        if os.path.exists(held):
-            os.remove(held)
+# ---- names ------------------------------------------------------------------------------------
+
+
+def package_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``out_name``: the stem, or the stem and the first free number where others of its folder have it, whatever the case.
+
+    The first by path keeps the stem; a number that makes another document's stem is not free.
+    """
+    folder = F.lower(F.coalesce("folder", F.lit(""))) if "folder" in docs.columns else F.lit("")
+    keyed = docs.withColumn("_folder", folder).withColumn("_low", F.lower("stem"))
+    nth = F.row_number().over(Window.partitionBy("_folder", "_low").orderBy(F.col("path").asc_nulls_last())) - 1
+    ends = keyed.select("_folder", "_low").distinct().where(F.col("_low").rlike(r"_[1-9][0-9]{0,8}\z"))
+    taken = ends.select("_folder", F.regexp_extract("_low", r"^(?s:(.*))_[0-9]+\z", 1).alias("_low"), F.regexp_extract("_low", r"_([0-9]+)\z", 1).cast("int").alias("k"))
+    taken = taken.groupBy("_folder", "_low").agg(F.sort_array(F.collect_set("k")).alias("_taken"))
+    keyed = keyed.withColumn("_nth", nth).join(taken, ["_folder", "_low"], "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    named = F.when(F.col("_nth") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", free.cast("string")))
+    return keyed.withColumn("out_name", named).drop("_folder", "_low", "_nth", "_taken")
+
+
+def _shared(docs: DataFrame, column: str) -> DataFrame:
+    """(path, out_name, _apart_<column>): documents of which a file would have the name of another's in the folder."""
+    names = docs.select("path", "out_name", F.lower(F.coalesce("folder", F.lit(""))).alias("at") if "folder" in docs.columns else F.lit("").alias("at"), F.explode(column).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("at", F.lower("x.name")).orderBy(F.col("path").asc_nulls_last()))
+    return names.withColumn("nth", nth).where("nth > 1").select("path", F.lit(True).alias(f"_apart_{column}")).distinct()
 
 
 def package_files(docs: DataFrame, mode: str = "SingleMd") -> DataFrame:
-    """(path, data) of every file of the packages.
+    """(path, data) of every file of the packages; no path comes twice.
 
-    ``docs``: stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv),
-    and perhaps folder, in which the package lies.
+    ``docs``: path (of the source), stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv), and
+    perhaps folder, in which the package lies.  In single files' mode the documents of a folder share ``assets`` and ``tables``; one
+    whose files there would have the names of another's has a folder of its own in them, and its links lead there.
     """
     if mode not in MODES:
         raise ValueError(mode)
     single = mode == "SingleMd"
+    named = package_names(docs)
+    own: dict[str, Column] = {c: F.lit("") for c in ("assets", "tables")}
+    if single:
+        for c in own:
+            named = named.join(_shared(named, c), "path", "left")
+            own[c] = F.when(F.col(f"_apart_{c}"), F.concat("out_name", F.lit("/"))).otherwise(F.lit(""))
     folder = F.when(F.coalesce("folder", F.lit("")) != "", F.concat("folder", F.lit("/"))).otherwise(F.lit("")) if "folder" in docs.columns else F.lit("")
-    base = folder if single else F.concat(folder, "stem", F.lit("/"))
+    base = folder if single else F.concat(folder, "out_name", F.lit("/"))
     one = lambda name, data: F.struct(F.concat(base, name).alias("path"), data.alias("data"))
-    bom = F.concat(F.unhex(F.lit("EFBBBF")), F.col("markdown").cast("binary"))
-    files = [one(F.concat("stem", F.lit(".md")), bom)] if single else [
+    text = F.col("markdown")
+    for c, at in own.items() if single else ():
+        text = F.when(at != "", F.replace(text, F.lit(f"]({c}/"), F.concat(F.lit(f"]({c}/"), at))).otherwise(text)
+    bom = F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary"))
+    files = [one(F.concat("out_name", F.lit(".md")), bom)] if single else [
         one(F.lit("document.md"), bom),
         one(F.lit(".meta.json"), F.col("meta_json").cast("binary")),
         one(F.lit(".quality_report.json"), F.col("quality_json").cast("binary")),
     ]
-    assets = F.transform("assets", lambda a: F.struct(F.concat(base, F.lit("assets/"), a["name"]).alias("path"), a["data"].alias("data")))
-    tables = F.transform("tables", lambda t: F.struct(F.concat(base, F.lit("tables/"), t["name"]).alias("path"), t["csv"].cast("binary").alias("data")))
-    return docs.select(F.explode(F.concat(F.array(*files), assets, tables)).alias("f")).select("f.path", "f.data")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(docs.dtypes)[c]))
+    assets = F.transform(none("assets"), lambda a: F.struct(F.concat(base, F.lit("assets/"), own["assets"], a["name"]).alias("path"), a["data"].alias("data")))
+    tables = F.transform(none("tables"), lambda t: F.struct(F.concat(base, F.lit("tables/"), own["tables"], t["name"]).alias("path"), t["csv"].cast("binary").alias("data")))
+    return named.select(F.explode(F.concat(F.array(*files), assets, tables)).alias("f")).select("f.path", "f.data")
+
+
+# ---- files ------------------------------------------------------------------------------------
+
+
+def file_system(uri: str):
+    """Arrow's file system of a URI or an absolute path, and the path in it."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(uri)
 
-def write_packages(docs: DataFrame, folder: str, mode: str = "SingleMd") -> DataFrame:
-    """Write the packages under ``folder``, a mount that all executors share; returns (path, bytes)."""
+
+def stage_files(files: DataFrame, folder: str, run: str) -> DataFrame:
+    """(path, staged, bytes) of ``files`` (path, data), each written in the folder of the attempt that wrote it."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = file_system(folder)
+        task = TaskContext.get()
+        own = f".staging/{run}/{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+        store.create_dir(f"{root}/{own}", recursive=True)
+        at = 0
         for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["data"], strict=True):
-                _put(os.path.join(folder, path), bytes(data or b""))
-            yield pd.DataFrame({"path": pdf["path"], "bytes": [len(d or b"") for d in pdf["data"]]})
+            staged = [f"{own}/{k}" for k in range(at, at + len(pdf))]
+            at += len(pdf)
+            for name, data in zip(staged, pdf["data"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(bytes(data or b""))
+            yield pd.DataFrame({"path": pdf["path"], "staged": staged, "bytes": [len(d or b"") for d in pdf["data"]]})
+
+    return files.mapInPandas(work, "path string, staged string, bytes bigint")
+
 
-    return package_files(docs, mode).mapInPandas(work, "path string, bytes bigint")
+def place_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """(path, bytes): the staged files of a manifest moved to their places; a move that was done before is passed over."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = file_system(folder)
+        made: set[str] = set()
+        for pdf in batches:
+            for path, staged in zip(pdf["path"], pdf["staged"], strict=True):
+                target = f"{root}/{path}"
+                parent = target.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                if store.get_file_info(f"{root}/{staged}").is_file:
+                    store.move(f"{root}/{staged}", target)
+                elif not store.get_file_info(target).is_file:
+                    raise FileNotFoundError(target)
+            yield pdf[["path", "bytes"]]
+
+    return manifest.mapInPandas(work, "path string, bytes bigint")
+
+
+def write_packages(docs: DataFrame, folder: str, mode: str = "SingleMd", run: str | None = None) -> DataFrame:
+    """Write the packages under ``folder`` and return (path, bytes) of their files, read from the manifest.
+
+    ``run`` names the run: one that was committed under this name before is only read.  A run that broke off before its mark is taken
+    up again: from its manifest, if that stands, else from the start.
+    """
+    run = run or uuid.uuid4().hex
+    held = f"{folder.rstrip('/')}/.runs/{run}"
+    store, root = file_system(folder)
+    at = f"{root}/.runs/{run}"
+    store.create_dir(at, recursive=True)
+    is_file = lambda p: store.get_file_info(p).is_file
+    if not is_file(f"{at}/done"):
+        if not is_file(f"{at}/manifest/_SUCCESS"):
+            stage_files(package_files(docs, mode), folder, run).write.mode("overwrite").parquet(f"{held}/manifest")
+        place_files(docs.sparkSession.read.parquet(f"{held}/manifest"), folder).write.mode("overwrite").format("noop").save()
+        if store.get_file_info(f"{root}/.staging/{run}").type.name == "Directory":
+            store.delete_dir(f"{root}/.staging/{run}")
+        with store.open_output_stream(f"{at}/done") as out:
+            out.write(b"")
+    return docs.sparkSession.read.parquet(f"{held}/manifest").select("path", "bytes")
