@@ -1,14 +1,17 @@
 """Files to packages in one run: parsers by type, the document plan, JSON facts, and files out.
 
 A file that can't be read is a row with an error and never ends the run; ``run`` with ``continue_on_error``
-off ends it before anything is written.
+off ends it before anything is written, ``run_in_waves`` after the wave in which the error was met.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import Limits
@@ -135,12 +138,54 @@ def run(rows: DataFrame, out: str, limits: Limits | None = None, root: str | Non
     Documents are written once as Parquet beside the packages, so neither result reads the files again.  A run of a ``name`` that was
     committed before writes nothing (``sinks.write_packages``).
     """
-    limits = limits or Limits()
-    held = f"{out.rstrip('/')}/.documents"
-    sinks.write_table(convert(rows, limits=limits, root=root, at=at), held, "overwrite")
+    limits, name = limits or Limits(), name or uuid.uuid4().hex
+    held = f"{out.rstrip('/')}/.runs/{name}/documents"
+    store, root_path = sinks.file_system(out)
+    if not store.get_file_info(f"{root_path}/.runs/{name}/documents/_SUCCESS").is_file:
+        sinks.write_table(convert(rows, limits=limits, root=root, at=at), held, "overwrite")
     docs = rows.sparkSession.read.parquet(held)
     if not limits.continue_on_error:
         bad = docs.where("status = 'Failed'").select("path", "error").first()
         if bad is not None:
             raise RuntimeError(f"{bad['path']}: {bad['error']}")
     return docs.select("path", "status", "error"), sinks.write_packages(docs.where("status = 'Done'"), out, limits.package_mode, name)
+
+
+def cancel(spark: SparkSession, out: str, name: str) -> None:
+    """End the run of that name: its running jobs are cancelled, waves that haven't begun don't begin."""
+    store, at = sinks.file_system(out)
+    store.create_dir(f"{at}/.runs/{name}", recursive=True)
+    with store.open_output_stream(f"{at}/.runs/{name}/cancelled") as mark:
+        mark.write(b"")
+    spark.interruptTag(name)
+
+
+def run_in_waves(rows: DataFrame, out: str, name: str, limits: Limits | None = None, root: str | None = None, at: str | None = None, files_at_once: int = 1000) -> DataFrame:
+    """Convert and write about ``files_at_once`` files at a time: (path, status, error) of all files, Pending for those not begun.
+
+    With ``continue_on_error`` off the first error ends the run after its wave, whose good files are written; so does ``cancel``.  What
+    was written stays.  A run of the same ``name`` goes on with the waves that aren't done, so long as the files are the same.
+    """
+    spark, limits = rows.sparkSession, limits or Limits()
+    store, folder = sinks.file_system(out)
+    waves = max(1, -(-rows.select("path").count() // files_at_once))
+    wave = F.pmod(F.xxhash64("path"), F.lit(waves))
+    anyway = replace(limits, continue_on_error=True)
+    states = []
+    spark.addTag(name)
+    try:
+        for k in range(waves):
+            if store.get_file_info(f"{folder}/.runs/{name}/cancelled").is_file:
+                break
+            try:
+                states.append(run(rows.where(wave == k), out, anyway, root, at, f"{name}-{k}")[0])
+            except Exception:
+                if store.get_file_info(f"{folder}/.runs/{name}/cancelled").is_file:
+                    break
+                raise
+            if not limits.continue_on_error and not states[-1].where("status = 'Failed'").isEmpty():
+                break
+    finally:
+        spark.removeTag(name)
+    left = rows.where(wave >= len(states)).select("path").distinct().select("path", F.lit("Pending").alias("status"), F.lit(None).cast("string").alias("error"))
+    return reduce(DataFrame.union, states, left)

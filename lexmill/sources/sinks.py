@@ -29,45 +29,59 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
 # ---- names ------------------------------------------------------------------------------------
 
 
-def package_names(docs: DataFrame) -> DataFrame:
+def _folder(df: DataFrame) -> Column:
+    return F.lower(F.coalesce("folder", F.lit(""))) if "folder" in df.columns else F.lit("")
+
+
+def package_names(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``out_name``: the stem, or the stem and the first free number where others of its folder have it, whatever the case.
 
-    The first by path keeps the stem; a number that makes another document's stem is not free.
+    The first by path keeps the stem; a number that makes another document's stem is not free, nor is a name in ``held`` (folder, stem).
     """
-    folder = F.lower(F.coalesce("folder", F.lit(""))) if "folder" in docs.columns else F.lit("")
-    keyed = docs.withColumn("_folder", folder).withColumn("_low", F.lower("stem"))
-    nth = F.row_number().over(Window.partitionBy("_folder", "_low").orderBy(F.col("path").asc_nulls_last())) - 1
+    keyed = docs.withColumns({"_folder": _folder(docs), "_low": F.lower("stem"), "_held": F.lit(False)})
+    if held is not None:
+        keyed = keyed.unionByName(held.select(F.lower("folder").alias("_folder"), F.lower("stem").alias("_low"), F.lit(True).alias("_held")).distinct(), allowMissingColumns=True)
+    nth = F.row_number().over(Window.partitionBy("_folder", "_low").orderBy(F.col("_held").desc(), F.col("path").asc_nulls_last())) - 1
     ends = keyed.select("_folder", "_low").distinct().where(F.col("_low").rlike(r"_[1-9][0-9]{0,8}\z"))
     taken = ends.select("_folder", F.regexp_extract("_low", r"^(?s:(.*))_[0-9]+\z", 1).alias("_low"), F.regexp_extract("_low", r"_([0-9]+)\z", 1).cast("int").alias("k"))
     taken = taken.groupBy("_folder", "_low").agg(F.sort_array(F.collect_set("k")).alias("_taken"))
     keyed = keyed.withColumn("_nth", nth).join(taken, ["_folder", "_low"], "left")
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     named = F.when(F.col("_nth") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", free.cast("string")))
-    return keyed.withColumn("out_name", named).drop("_folder", "_low", "_nth", "_taken")
+    return keyed.withColumn("out_name", named).where("not _held").drop("_folder", "_low", "_nth", "_taken", "_held")
 
 
-def _shared(docs: DataFrame, column: str) -> DataFrame:
-    """(path, out_name, _apart_<column>): documents of which a file would have the name of another's in the folder."""
-    names = docs.select("path", "out_name", F.lower(F.coalesce("folder", F.lit(""))).alias("at") if "folder" in docs.columns else F.lit("").alias("at"), F.explode(column).alias("x"))
-    nth = F.row_number().over(Window.partitionBy("at", F.lower("x.name")).orderBy(F.col("path").asc_nulls_last()))
-    return names.withColumn("nth", nth).where("nth > 1").select("path", F.lit(True).alias(f"_apart_{column}")).distinct()
+def _shared(docs: DataFrame, column: str, written: DataFrame | None) -> DataFrame:
+    """(_folder, out_name, _apart_<column>): documents of which a file would have the name of another's in the folder."""
+    names = docs.select(_folder(docs).alias("_folder"), "out_name", F.lit(False).alias("held"), F.explode(column).alias("x")).withColumn("low", F.lower("x.name")).drop("x")
+    if written is not None:
+        at = F.regexp_extract(F.lower("path"), rf"^(?s:(.*?))/?{column}/([^/]+)\z", 1)
+        low = F.regexp_extract(F.lower("path"), rf"^(?s:.*?)/?{column}/([^/]+)\z", 1)
+        names = names.union(written.where(F.lower("path").rlike(rf"(?s)^(.*/)?{column}/[^/]+\z")).select(at, F.lit(""), F.lit(True), low))
+    nth = F.row_number().over(Window.partitionBy("_folder", "low").orderBy(F.col("held").desc(), "out_name"))
+    return names.withColumn("nth", nth).where("nth > 1 and not held").select("_folder", "out_name", F.lit(True).alias(f"_apart_{column}")).distinct()
 
 
-def package_files(docs: DataFrame, mode: str = "SingleMd") -> DataFrame:
+def package_files(docs: DataFrame, mode: str = "SingleMd", written: DataFrame | None = None) -> DataFrame:
     """(path, data) of every file of the packages; no path comes twice.
 
-    ``docs``: path (of the source), stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv), and
+    ``written``: paths of files that stand there already, whose names are not free.  ``docs``: path (of the source), stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv), and
     perhaps folder, in which the package lies.  In single files' mode the documents of a folder share ``assets`` and ``tables``; one
     whose files there would have the names of another's has a folder of its own in them, and its links lead there.
     """
     if mode not in MODES:
         raise ValueError(mode)
     single = mode == "SingleMd"
-    named = package_names(docs)
+    last = r"\.md" if single else "/document\\.md"
+    held = None if written is None else written.where(F.col("path").rlike(rf"(?s){last}\z") & ~F.col("path").rlike("(^|/)(assets|tables)/")).select(
+        F.regexp_extract("path", rf"^(?s:(.*?))/?[^/]+{last}\z", 1).alias("folder"), F.regexp_extract("path", rf"([^/]+){last}\z", 1).alias("stem")
+    )
+    named = package_names(docs, held)
     own: dict[str, Column] = {c: F.lit("") for c in ("assets", "tables")}
     if single:
+        named = named.withColumn("_folder", _folder(docs))
         for c in own:
-            named = named.join(_shared(named, c), "path", "left")
+            named = named.join(_shared(named, c, written), ["_folder", "out_name"], "left")
             own[c] = F.when(F.col(f"_apart_{c}"), F.concat("out_name", F.lit("/"))).otherwise(F.lit(""))
     folder = F.when(F.coalesce("folder", F.lit("")) != "", F.concat("folder", F.lit("/"))).otherwise(F.lit("")) if "folder" in docs.columns else F.lit("")
     base = folder if single else F.concat(folder, "out_name", F.lit("/"))
@@ -139,10 +153,22 @@ def place_files(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.mapInPandas(work, "path string, bytes bigint")
 
 
+def _others(docs: DataFrame, folder: str, run: str) -> DataFrame | None:
+    """(path) of what other runs have written under ``folder``."""
+    store, root = file_system(folder)
+    if store.get_file_info(f"{root}/.runs").type.name != "Directory":
+        return None
+    from pyarrow import fs
+
+    found = [i.base_name for i in store.get_file_info(fs.FileSelector(f"{root}/.runs")) if i.base_name != run]
+    held = [f"{folder.rstrip('/')}/.runs/{r}/manifest" for r in found if store.get_file_info(f"{root}/.runs/{r}/manifest/_SUCCESS").is_file]
+    return docs.sparkSession.read.schema("path string").parquet(*held) if held else None
+
+
 def write_packages(docs: DataFrame, folder: str, mode: str = "SingleMd", run: str | None = None) -> DataFrame:
     """Write the packages under ``folder`` and return (path, bytes) of their files, read from the manifest.
 
-    ``run`` names the run: one that was committed under this name before is only read.  A run that broke off before its mark is taken
+    Names that other runs have used are not free.  ``run`` names the run: one that was committed under this name before is only read.  A run that broke off before its mark is taken
     up again: from its manifest, if that stands, else from the start.
     """
     run = run or uuid.uuid4().hex
@@ -153,7 +179,7 @@ def write_packages(docs: DataFrame, folder: str, mode: str = "SingleMd", run: st
     is_file = lambda p: store.get_file_info(p).is_file
     if not is_file(f"{at}/done"):
         if not is_file(f"{at}/manifest/_SUCCESS"):
-            stage_files(package_files(docs, mode), folder, run).write.mode("overwrite").parquet(f"{held}/manifest")
+            stage_files(package_files(docs, mode, _others(docs, folder, run)), folder, run).write.mode("overwrite").parquet(f"{held}/manifest")
         place_files(docs.sparkSession.read.parquet(f"{held}/manifest"), folder).write.mode("overwrite").format("noop").save()
         if store.get_file_info(f"{root}/.staging/{run}").type.name == "Directory":
             store.delete_dir(f"{root}/.staging/{run}")

@@ -68,3 +68,59 @@ def test_a_repeated_path_is_one_document(spark, tmp_path):
     texts = {p.name: p.read_text("utf-8-sig") for p in tmp_path.glob("*.md")}
     assert set(texts) == {"x.md", "x_1.md"} == {r["path"] for r in written.collect()}
     assert sum("three" in t for t in texts.values()) == 1 and sum("one" in t for t in texts.values()) + sum("two" in t for t in texts.values()) == 1
+
+
+def test_names_of_other_runs_are_not_free(spark, tmp_path):
+    one = docs(spark, [("/in/1/x.txt", "f", "x", ["i.png"], [])])
+    for k in range(3):
+        sinks.write_packages(one.withColumn("markdown", F.lit(f"run {k} [i](assets/i.png)")), str(tmp_path), run=f"r{k}").count()
+    got = {p.name: p.read_text("utf-8-sig") for p in (tmp_path / "f").glob("*.md")}
+    assert got == {"x.md": "run 0 [i](assets/i.png)", "x_1.md": "run 1 [i](assets/x_1/i.png)", "x_2.md": "run 2 [i](assets/x_2/i.png)"}
+    assert (tmp_path / "f/assets/x_2/i.png").exists()
+    for k in range(2):
+        sinks.write_packages(one, str(tmp_path / "h"), "HybridPackage", run=f"r{k}").count()
+    assert {p.name for p in (tmp_path / "h/f").iterdir()} == {"x", "x_1"}
+
+
+def text_files(spark, names):
+    return spark.createDataFrame([(f"/in/{n}", bytearray(f"text of {n}".encode()) if not n.endswith(".zip") else bytearray(b"x")) for n in names], "path string, content binary")
+
+
+def test_the_first_error_ends_the_waves(spark, tmp_path):
+    names = [f"{i}.txt" for i in range(12)] + ["bad.zip"]
+    state = conversion.run_in_waves(text_files(spark, names), str(tmp_path), "w", Limits(continue_on_error=False), files_at_once=3)
+    got = {r["path"]: r["status"] for r in state.collect()}
+    assert len(got) == 13 and got["/in/bad.zip"] == "Failed"
+    done = sum(s == "Done" for s in got.values())
+    assert len(list(tmp_path.glob("*.md"))) == done and done + sum(s == "Pending" for s in got.values()) == 12
+    whole = conversion.run_in_waves(text_files(spark, names), str(tmp_path), "w", files_at_once=3)  # goes on
+    assert sorted(r["status"] for r in whole.collect()) == ["Done"] * 12 + ["Failed"] and len(list(tmp_path.glob("*.md"))) == 12
+
+
+def test_a_cancelled_run_leaves_the_rest_pending(spark, tmp_path):
+    conversion.cancel(spark, str(tmp_path), "c")
+    state = conversion.run_in_waves(text_files(spark, ["a.txt", "b.txt"]), str(tmp_path), "c")
+    assert [r["status"] for r in state.collect()] == ["Pending", "Pending"] and not list(tmp_path.glob("*.md"))
+
+
+def test_arrivals_are_written_once(spark, tmp_path):
+    from lexmill.streaming.arrivals import package_stream
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    out.mkdir()
+    (src / "x.txt").write_text("one")
+    (src / "y.txt").write_text("two")
+    run = lambda check: package_stream(spark, str(src), str(out), str(tmp_path / check), once=True).awaitTermination()
+    run("c")
+    stamps = {p.name: p.stat().st_mtime_ns for p in out.glob("*.md")}
+    assert set(stamps) == {"x.md", "y.md"}
+    (src / "sub").mkdir()
+    (src / "sub/x.txt").write_text("three")
+    run("c")
+    assert {p.name for p in out.glob("*.md")} == {"x.md", "y.md", "x_1.md"} and "three" in (out / "x_1.md").read_text("utf-8-sig")
+    last = max((tmp_path / "c/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()  # the batch was written, but the stream had not said so before it broke off
+    run("c")
+    assert {p.name for p in out.glob("*.md")} == {"x.md", "y.md", "x_1.md"} and all((out / n).stat().st_mtime_ns == t for n, t in stamps.items())
