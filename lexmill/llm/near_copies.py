@@ -16,7 +16,7 @@ for every fourth band, so rows are linear in a group's size.  Where that leaves
 component, its members are searched exactly, by prefixes: with shingles in order of how many of these documents hold them, two
 sets at 0.8 share one of their rarest fifths.  Documents that share a rare one (``RARE`` at most) are paired, if what stands
 behind it in both sets suffices; for the others heads are drawn from a shingle's documents and compared with all of them,
-round after round, until its documents are one component or none is left that could pair.  What a template has in common
+round after round, until its documents are one component or few pairs are left, which are all taken.  What a template has in common
 stands at the ends of the sets, so documents that share nothing else aren't compared.
 
 Edge cases: null text counts as empty; texts without a word share one shingle, so they are alike; fewer
@@ -41,8 +41,8 @@ from lexmill.llm.simhash import Bits, group_prints, shingle_hashes
 
 WORDS, SIMILARITY, DISTANCE = 5, 0.8, 2
 BANDS, ROWS, FEW, HEADS = 16, 4, 8, 4
-#: Documents of a rare shingle; heads of a frequent one's documents in a round.
-RARE, DRAWN = 32, 16
+#: Documents of a rare shingle; heads of a frequent one's documents in a round; pairs that are taken at once when no more are left.
+RARE, DRAWN, ALL_PAIRS = 128, 32, 2_000_000
 ALIKE = 36
 #: Shingles whose minima numpy takes at once, and texts whose results are held at once.
 BLOCK, TEXTS = 4096, 256
@@ -175,23 +175,34 @@ def prefix_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     return _pairs(both.where(can).select("x_n", "y_n"))
 
 
-def prefix_links(entries: DataFrame, seen: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The links of all similar pairs of the sets that ``entries`` are prefixes of, besides ``links``, whose components ``roots`` are."""
-    rare = settle(_rooted(entries.where(F.col("df") <= RARE), roots))
-    found = [links, similar(plausible(prefix_pairs(rare, rare), seen), sets)]
-    live, turn = entries.where(F.col("df") > RARE), 0
+def _moved(live: DataFrame, links: DataFrame) -> DataFrame:
+    """``live`` with the roots that new links give; links are few beside the components that they join."""
+    if links.isEmpty():
+        return live
+    held = live.select("n", "root").distinct()
+    side = lambda k: held.select(F.col("n").alias(k), F.col("root").alias(f"{k}_root"))
+    edges = links.join(side("u"), "u").join(side("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return settle(live.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
+
+
+def prefix_links(entries: DataFrame, seen: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links that join components ``roots`` of the sets that ``entries`` are prefixes of, until no similar pair is apart."""
+    live = settle(_rooted(entries, roots))
+    rare = live.where(F.col("df") <= RARE)
+    found, turn = [similar(plausible(prefix_pairs(rare, rare), seen), sets)], 0
+    live = _moved(live, found[0]).where(F.col("df") > RARE)
     while True:
-        roots = connected_components(reduce(DataFrame.union, found))
-        rooted = settle(_rooted(live, roots))
-        lists = rooted.groupBy("tok").agg(F.min("size").alias("least"), (F.min("root") < F.max("root")).alias("apart")).where("apart").select("tok", "least")
+        lists = live.groupBy("tok").agg(F.min("size").alias("least"), (F.min("root") < F.max("root")).alias("apart")).where("apart").select("tok", "least")
         near = F.greatest("least", F.ceil(F.col("size") * SIMILARITY - 1e-9))
-        live = settle(rooted.join(lists, "tok").where(_enough(F.col("size") - F.col("at"), F.col("size") + near)).drop("least"))
-        if live.isEmpty():
-            return reduce(DataFrame.union, found)
+        live = settle(live.join(lists, "tok").where(_enough(F.col("size") - F.col("at"), F.col("size") + near)).drop("least"))
+        pairs = live.groupBy("tok").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+        if pairs <= ALL_PAIRS:  # nothing, or too little for rounds
+            return reduce(DataFrame.union, [*found, similar(plausible(prefix_pairs(live, live), seen), sets)] if pairs else found)
         drawn = F.array_distinct(F.array(*[F.min_by("n", F.xxhash64("n", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]))
         heads = settle(live.groupBy("tok").agg(drawn.alias("heads")).select("tok", F.explode("heads").alias("n")))
         found.append(similar(plausible(prefix_pairs(live.join(heads, ["tok", "n"], "left_semi"), live), seen), sets))
-        live, turn = live.join(heads, ["tok", "n"], "left_anti").drop("root"), turn + 1
+        live, turn = _moved(live, found[-1]).join(heads, ["tok", "n"], "left_anti"), turn + 1
 
 
 def plausible(pairs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -232,7 +243,7 @@ def near_roots(rows: DataFrame) -> DataFrame:
         if not crowd.isEmpty():
             crowd = settle(seen.select("n", "rid").join(crowd, "n"))
             sets = shingle_sets(rows.join(crowd, "rid").select("n", "text"))
-            roots = connected_components(prefix_links(prefixes(sets), seen, sets, links, roots))
+            roots = connected_components(links.union(prefix_links(prefixes(sets), seen, sets, roots)))
         found = roots.select("root", F.col("node").alias("n")).join(seen.select("n", "rid"), "n")
         return settle(found.select("rid", "root"), outer=True)
 

@@ -1,31 +1,17 @@
-"""From positioned words to Markdown: lines, headings, lists, tables and paragraphs of pages.
+"""Positioned words: sizes and weights, clusters of a row's words, pages of two columns.
 
-Input rows: doc_id, page, text, left, right, top, height, font_size, font_name (page y grows upward).
-What compares only with a neighbour is a window (``cell_gaps``, ``two_column_pages``, ``font_facts``).
-What compares with the first word of the current line, or takes lines greedily, is a fold: one document
-is folded at a time in ``applyInPandas``, since a document's pages are bounded and independent of others.
+Input rows: doc_id, page, text, left, right, top, height, font_size, font_name (page y grows upward).  Rows, lines and tables
+are in ``page_tables``, kinds and paragraphs in ``page_text``.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from dataclasses import dataclass, field
-from statistics import fmean
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HAN = "一二三四五六七八九十"
-WIDE = re.compile("[一-鿿㐀-䶿＀-￯　-〿぀-ゟ゠-ヿ]")
-END_MARKS = "。！？.?!」』】…；;"
 BOLD_NAMES = ("bold", "bd", "black", "heavy")
 
 
-# ---- windows -------------------------------------------------------------------------------
-
-
 def font_facts(words: DataFrame) -> DataFrame:
     """``words`` with size (letter size if at least 5, else the height, else 10) and bold."""
     size = F.when(F.col("font_size") >= 5, F.col("font_size")).when(F.col("height") > 0, F.col("height")).otherwise(F.lit(10.0))
@@ -65,365 +51,3 @@ def pdf_error(message: Column) -> Column:
     low = F.lower(F.coalesce(message, F.lit("")))
     locked = low.contains("encrypt") | low.contains("password")
     return F.when(locked, F.lit("encrypted")).when(low.contains("corrupt") | low.contains("invalid"), F.lit("corrupted")).otherwise(F.lit("other"))
-
-
-# ---- folds over one document ----------------------------------------------------------------
-
-
-@dataclass
-class Word:
-    text: str
-    left: float
-    right: float
-    top: float
-    size: float
-    bold: bool
-
-
-@dataclass
-class Line:
-    text: str
-    left: float
-    top: float
-    size: float
-    bold: bool
-    page: int
-    kind: str = "body"
-    level: int = 0
-    number: int = -1
-    merged: bool = False
-    breaks: bool = False
-    cells: list[tuple[int, str]] = field(default_factory=list)
-
-
-def upper_median(values: list[float]) -> float:
-    return sorted(values)[len(values) // 2]
-
-
-def rows_by_anchor(words: list[Word], limit: float) -> list[list[Word]]:
-    """Words from the top down, cut where a word is further than ``limit`` below the row's first."""
-    rows: list[list[Word]] = []
-    for w in sorted(words, key=lambda w: (-w.top, w.left)):
-        if rows and abs(rows[-1][0].top - w.top) <= limit:
-            rows[-1].append(w)
-        else:
-            rows.append([w])
-    return [sorted(r, key=lambda w: w.left) for r in rows]
-
-
-def joined(row: list[Word]) -> str:
-    """The words of a row: no blank between words with wide characters, nor over half a character of the word before."""
-    out = row[0].text
-    for before, word in zip(row, row[1:], strict=False):
-        wide = WIDE.search(before.text) and WIDE.search(word.text)
-        mean = (before.right - before.left) / len(before.text) if before.text else 6.0
-        near = mean > 0 and (word.left - before.right) / mean <= 0.5
-        out += word.text if wide or near else " " + word.text
-    return out
-
-
-_FURNITURE = [re.compile(p, re.M) for p in (r"—\s*\d+\s*—", r"第\s*\d+\s*页\s*—\s*\d+\s*—", r"第\s*\d+\s*页", r"共\s*\d+\s*页", r"^\s*\d{1,3}\s*$", r"^[\s\d—\-–]+$", "[­​-‏﻿]")]
-
-
-def clean_text(text: str) -> str:
-    for p in _FURNITURE:
-        text = p.sub("", text)
-    text = re.sub(r"\s+", " ", text)
-    return re.sub(r"\s+([，。、；：！？）】》」』,.;:!?)\]])", r"\1", text).strip()
-
-
-def han_number(text: str) -> int:
-    digit = {c: i for i, c in enumerate("零一二三四五六七八九")}
-    if "十" in text:
-        tens, _, units = text.partition("十")
-        return digit.get(tens, 1) * 10 + digit.get(units, 0)
-    return int("".join(str(digit[c]) for c in text if c in digit) or 0) or 1
-
-
-def decimal_number(digits: str) -> int:
-    """A list number; 1 where it is no 32-bit number in ASCII digits."""
-    found = int(digits) if digits.isascii() and len(digits) <= 10 else 1
-    return found if found < 1 << 31 else 1
-
-
-#: (pattern, kind, level): the first that matches a line's beginning decides.
-_RULES = (
-    (re.compile(rf"第[{HAN}百千零\d]+[章节]"), "heading", 3),
-    (re.compile(rf"第[{HAN}百千零\d]+条"), "heading", 4),
-    (re.compile(rf"[{HAN}]+、"), "heading", 4),
-    (re.compile(rf"（([{HAN}零]+)）"), "ordered", 0),
-    (re.compile(r"（(\d+)）"), "ordered", 0),
-    (re.compile(r"(\d+)[.．、](?!(?<=[.．])\d)"), "ordered", 0),
-    (re.compile(r"[•●○◆▪]"), "bullet", 0),
-)
-
-
-def classify(line: Line, size_before: float | None) -> None:
-    text = line.text.strip()
-    if not text:
-        line.kind = "empty"
-        return
-    for pattern, kind, level in _RULES:
-        if m := pattern.match(text):
-            line.kind, line.level = kind, level
-            if kind == "ordered":
-                line.number = decimal_number(m[1]) if m[1].isdecimal() else han_number(m[1])
-            return
-    larger = size_before is not None and len(text) < 30 and line.size > size_before * 1.3
-    if (line.bold and len(text) <= 30) or larger:
-        line.kind, line.level = "heading", 4
-
-
-_PREFIX = re.compile(rf"第[{HAN}百千零\d]+[章节条]|[{HAN}]+、")
-_SECTION = re.compile(rf"第[{HAN}百千零\d]+[章节条]")
-_STARTS = re.compile(rf"第[{HAN}百千零\d]+|[{HAN}]+、|（[{HAN}零\d]+）|\d+[.．、]\s")
-
-
-def _new_mark(text: str, prefix: str) -> bool:
-    return any(m != prefix for m in _SECTION.findall(text)) or bool(re.search(rf"[{HAN}]+、", text))
-
-
-def absorb_headings(lines: list[Line]) -> None:
-    """A heading takes the lines that go on with it; blanks are passed only before the first."""
-    for at, head in enumerate(lines):
-        if head.kind != "heading" or head.merged:
-            continue
-        m = _PREFIX.match(head.text)
-        prefix, taken = m[0] if m else "", False
-        for line in lines[at + 1 :]:
-            if line.kind == "empty" and not taken:
-                continue
-            same_level = line.kind == "heading" and not _PREFIX.match(line.text) and line.level == head.level
-            off = abs(head.size - line.size) / head.size if head.size > 0 and line.size > 0 else 0
-            goes_on = line.kind == "body" and line.text and not _STARTS.match(line.text.lstrip()) and off <= 0.15
-            if not (same_level or goes_on) or _new_mark(line.text, prefix):
-                break
-            wide = WIDE.match(head.text[-1:]) or WIDE.match(line.text[:1])
-            head.text += line.text if wide else " " + line.text
-            line.merged = taken = True
-
-
-def clusters(row: list[Word]) -> list[tuple[float, float]]:
-    """(left, right) of the word groups of a row, apart by wide gaps; none for a single word."""
-    if len(row) < 2:
-        return []
-    limit = max(15.0, 3 * fmean((w.right - w.left) / max(1, len(w.text)) for w in row))
-    out = [[row[0].left, row[0].right]]
-    for before, word in zip(row, row[1:], strict=False):
-        if word.left - before.right > limit:
-            out.append([word.left, word.right])
-        else:
-            out[-1][1] = max(out[-1][1], word.right)
-    return [(a, b) for a, b in out]
-
-
-def positions(lefts: list[float], tolerance: float = 20.0) -> list[float]:
-    """Greedy groups of sorted numbers around their running mean: the means."""
-    groups: list[list[float]] = []
-    for x in sorted(lefts):
-        if groups and abs(x - fmean(groups[-1])) <= tolerance:
-            groups[-1].append(x)
-        else:
-            groups.append([x])
-    return sorted(fmean(g) for g in groups)
-
-
-def cells_of(row: list[Word], columns: list[float]) -> list[tuple[int, str]]:
-    """(column, text): each word goes where its centre lies between the columns' midpoints."""
-    splits = [(a + b) / 2 for a, b in zip(columns, columns[1:], strict=False)]
-    out: list[tuple[int, str]] = []
-    for w in sorted(row, key=lambda w: w.left):
-        column = sum((w.left + w.right) / 2 > s for s in splits)
-        if out and out[-1][0] == column:
-            out[-1] = (column, out[-1][1] + w.text)
-        else:
-            out.append((column, w.text))
-    return [(c, t.strip()) for c, t in out]
-
-
-def mark_tables(words: list[Word], lines: list[Line], paths: int = 0) -> None:
-    """Lines of table regions become table lines with their cells; others of the same row are merged."""
-    if not words:
-        return
-    median = upper_median([w.size for w in words])
-    loose = rows_by_anchor(words, max(median, 10.0))
-    spread = 1.5 * median * (4.0 if paths > 5 else 2.5)
-    regions: list[list[tuple[float, list[tuple[float, float]]]]] = []
-    last = None
-    for at, row in enumerate(loose):
-        found, y = clusters(row), fmean(w.top for w in row)
-        if len(found) > 1:
-            near = regions and last == at - 1 and abs(regions[-1][-1][0] - y) <= spread
-            (regions[-1].append if near else lambda r: regions.append([r]))((y, found))
-            last = at
-    for region in (r for r in regions if len(r) >= 3):
-        columns = positions([left for _, found in region for left, _ in found])
-        if len(columns) < 2:
-            continue
-        high, low = max(y for y, _ in region) + median, min(y for y, _ in region) - median
-        rows = [(fmean(w.top for w in r), cells_of(r, columns)) for r in loose]
-        rows = [(y, c) for y, c in rows if low <= y <= high and any(t for _, t in c)]
-        several = sum(sum(bool(t) for _, t in c) >= 2 for _, c in rows)
-        if len(rows) < 2 or several / len(rows) < 0.4:
-            continue
-        used: set[int] = set()
-        for y, cells in rows:
-            hits = [i for i, x in enumerate(lines) if i not in used and not x.merged and x.kind != "empty" and abs(x.top - y) <= 0.6 * median]
-            used.update(hits)
-            for n, i in enumerate(hits):
-                if n:
-                    lines[i].merged = True
-                else:
-                    lines[i].kind, lines[i].cells, lines[i].text = "table", cells, " ".join(t for _, t in cells if t)
-        for i, x in enumerate(lines):
-            inside = low <= x.top <= high and i not in used and not x.merged and x.kind == "body"
-            if inside and len(x.text) < 60 and x.text[-1:] not in END_MARKS:
-                x.kind, x.cells = "table", [(0, x.text)]
-
-
-def render_table(rows: list[Line]) -> tuple[str, bool]:
-    """(Markdown, degraded): too few columns or over 40 % empty cells give plain text."""
-    width = 1 + max((c for r in rows for c, _ in r.cells), default=0)
-    grid = []
-    for r in rows:
-        out = [""] * width
-        for c, t in r.cells:
-            out[c] = f"{out[c]} {t}" if out[c] else t
-        grid.append([t.strip() for t in out])
-    empty = sum(not x for r in grid for x in r)
-    if width < 2 or empty > 0.4 * width * len(grid):
-        why = "表格列数不足2列" if width < 2 else "空单元格超过40%"
-        return "\n".join([f"<!-- TABLE_DEGRADED: {why}，退化为纯文本 -->", *[r.text for r in rows if r.text.strip()], ""]) + "\n", True
-    head, body = grid[0], grid[1:]
-    while body and 0 < sum(map(bool, body[0])) <= width // 2 + 1:  # a sparse row goes on with the header
-        head = [a + b for a, b in zip(head, body.pop(0), strict=True)]
-    row = lambda cells: "| " + " | ".join(cells) + " |"
-    return "\n".join([row(head), row(["---"] * width), *map(row, body), ""]) + "\n", False
-
-
-_MARKS = {"ordered": [re.compile(p) for p in (rf"^（[{HAN}零\d]+）\s*", r"^\d+[.．、]\s*")], "bullet": [re.compile(r"^[•●○◆▪]\s*")]}
-
-
-class Pages:
-    """What the lines of a document have given so far: finished text, and the paragraph that may go on."""
-
-    def __init__(self, base: float):
-        self.base, self.out, self.held, self.page, self.degraded = base, "", "", 0, 0
-
-    def flush(self) -> None:
-        self.out += f"{self.held}\n\n" if self.held else ""
-        self.held = ""
-
-    def begin_page(self) -> None:
-        self.page += 1
-        if self.page > 1:
-            self.flush()
-            self.out += "\n"
-        self.out += f"<!-- PAGE_START: {self.page} -->\n"
-
-    def block(self, text: str) -> None:
-        """Something of its own: after a blank line, unless it is the first."""
-        fresh = not self.out and not self.held
-        self.flush()
-        self.out += text if fresh else "\n" + text
-
-    def body(self, line: Line) -> None:
-        if self.held and (self.held.rstrip()[-1:] in END_MARKS or line.left > self.base + 10):
-            self.flush()
-        wide = WIDE.match(self.held.rstrip()[-1:]) and WIDE.match(line.text.lstrip()[:1])
-        self.held = line.text if not self.held else self.held + line.text if wide else f"{self.held} {line.text}"
-
-
-def to_markdown(lines: list[Line]) -> tuple[str, int]:
-    """(Markdown, degraded tables) of a document's lines, page breaks among them.
-
-    Two empty lines or a page's mark end a paragraph.  A run of empty lines that begins before a page break
-    takes the break with it, so that page has no mark.
-    """
-    margins = Counter(round(x.left) for x in lines if not x.merged and x.kind == "body" and x.text.strip())
-    made = Pages(max(margins, key=margins.get) if margins else 0)  # the first seen of equally frequent ones
-    at = 0
-    while at < len(lines):
-        line, at = lines[at], at + 1
-        if line.merged:
-            continue
-        if line.kind == "empty":
-            if line.breaks:
-                made.begin_page()
-                continue
-            blank = 1
-            while at < len(lines) and (lines[at].merged or lines[at].kind == "empty"):
-                blank += not lines[at].merged
-                at += 1
-            if blank > 1:
-                made.flush()
-        elif line.kind == "body":
-            made.body(line)
-        elif line.kind == "table":
-            end = at
-            while end < len(lines) and lines[end].kind == "table":
-                end += 1
-            text, bad = render_table(lines[at - 1 : end])
-            made.block(text)
-            made.degraded += bad
-            at = end
-        elif line.kind == "heading":
-            made.block(f"{'#' * line.level} {line.text}\n")
-        else:
-            text = line.text
-            for mark in _MARKS[line.kind]:
-                text = mark.sub("", text)
-            made.block(f"{line.number}. {text}\n" if line.kind == "ordered" else f"- {text}\n")
-    made.flush()
-    return re.sub(r"\n{3,}", "\n\n", made.out).strip() + "\n", made.degraded
-
-
-def lines_of_page(words: list[Word], page: int) -> list[Line]:
-    limit = max(3.0, 0.6 * upper_median([w.size for w in words])) if words else 3.0
-    out = []
-    for row in rows_by_anchor(words, limit):
-        text = clean_text(joined(row))
-        out.append(Line(text, min(w.left for w in row), fmean(w.top for w in row), fmean(w.size for w in row), any(w.bold for w in row), page, "body" if text else "empty"))
-    return out
-
-
-def fold_document(pdf: pd.DataFrame) -> tuple[list[Line], int, str]:
-    lines: list[Line] = []
-    for page, own in pdf.sort_values("page", kind="stable").groupby("page", sort=True):
-        words = [Word(r.text or "", r.left, r.right, r.top, r.size, bool(r.bold)) for r in own.itertuples(index=False)]
-        words = [w for w in words if w.text.strip()]
-        found = lines_of_page(words, int(page))
-        mark_tables(words, found)
-        began = sum(x.breaks for x in lines)
-        lines += [Line("", 0.0, 0.0, 0.0, False, k, "empty", breaks=True) for k in range(began + 1, max(int(page), began + 1) + 1)] + found
-    before: float | None = None
-    for x in lines:
-        if x.kind not in ("empty", "table") and not x.merged:
-            classify(x, before)
-            before = x.size
-    absorb_headings(lines)
-    text, degraded = to_markdown(lines)
-    return lines, degraded, text
-
-
-def page_lines(words: DataFrame) -> DataFrame:
-    """(doc_id, line_no, page, text, kind, level, number, merged)."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = fold_document(pdf)[0]
-        lines = [x for x in lines if not x.breaks]
-        rows = [(pdf["doc_id"].iloc[0], i, x.page, x.text, x.kind, x.level, x.number, x.merged) for i, x in enumerate(lines)]
-        return pd.DataFrame(rows, columns=["doc_id", "line_no", "page", "text", "kind", "level", "number", "merged"])
-
-    schema = "doc_id long, line_no int, page int, text string, kind string, level int, number int, merged boolean"
-    return font_facts(words).groupBy("doc_id").applyInPandas(work, schema)
-
-
-def page_markdown(words: DataFrame) -> DataFrame:
-    """(doc_id, raw_md, degraded_tables)."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, degraded, text = fold_document(pdf)
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], text, degraded)], columns=["doc_id", "raw_md", "degraded_tables"])
-
-    return font_facts(words).groupBy("doc_id").applyInPandas(work, "doc_id long, raw_md string, degraded_tables int")

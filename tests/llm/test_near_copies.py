@@ -117,6 +117,7 @@ def test_frequent_shingles_in_prefixes_are_searched_in_rounds(spark, monkeypatch
     monkeypatch.setattr(N, "RARE", 1)
     monkeypatch.setattr(N, "DRAWN", 2)
     monkeypatch.setattr(N, "FEW", 2)
+    monkeypatch.setattr(N, "ALL_PAIRS", 100)
     rng = random.Random(13)
     passages = [" ".join(f"g{p}w{i}" for i in range(60)) for p in range(8)]
     texts = [" ".join(rng.choice(passages) for _ in range(rng.randint(2, 6))) + f" own{i} " + " ".join(f"o{i}n{j}" for j in range(rng.choice([0, 3, 20]))) for i in range(70)]

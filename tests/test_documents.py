@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.config import ENTERPRISE, Formatting, Limits, template
-from lexmill.operators import batch, blocks, compliance, docx, govmeta, layout, quality, semantic, sheets, slides, watermark, word
+from lexmill.operators import batch, blocks, compliance, docx, govmeta, page_text, quality, semantic, sheets, slides, watermark, word
 from lexmill.plans.documents import process
 from lexmill.sources import external, files, ooxml, sinks
 from lexmill.streaming import files as stream
@@ -144,41 +144,20 @@ def test_pages(spark):
     rows = [("第一章", 50.0, 700.0, 12.0, "X"), ("body", 50.0, 660.0, 12.0, "X"), ("goes", 95.0, 660.0, 12.0, "X"), ("on.", 50.0, 640.0, 12.0, "X"), ("（二）item", 50.0, 600.0, 12.0, "X")]
     for i, y in enumerate((500.0, 480.0, 460.0, 440.0)):
         rows += [(f"a{i}", 50.0, y, 12.0, "X"), (f"b{i}", 250.0, y, 12.0, "X"), (f"c{i}", 450.0, y, 12.0, "X")]
-    md = layout.page_markdown(page_words(spark, rows)).first()["raw_md"]
+    md = page_text.page_markdown(page_words(spark, rows)).first()["raw_md"]
     assert "### 第一章" in md and "2. item" in md and "| a0 | b0 | c0 |\n| --- | --- | --- |\n| a1 | b1 | c1 |" in md
-    kinds = {r["text"]: r["kind"] for r in layout.page_lines(page_words(spark, rows)).collect()}
+    kinds = {r["text"]: r["kind"] for r in page_text.page_lines(page_words(spark, rows)).collect()}
     assert kinds["（二）item"] == "ordered"
 
 
-def line(text="", kind="body", left=50.0, **more):
-    return layout.Line(text, left, 0.0, 12.0, False, 1, kind, **more)
-
-
-def test_page_text():
-    mark = line(kind="empty", breaks=True)
-    lines = [mark, line("Head", "heading", level=3), line("一 句"), line("goes on."), line("next"), line(kind="empty"), line("still"), line(kind="empty"), line(kind="empty"), line("apart")]
-    lines += [line("（1）2. both", "ordered", number=1), line("• dot", "bullet"), mark, line("over the page"), line(kind="empty"), mark, line("unmarked", left=80.0)]
-    text, degraded = layout.to_markdown(lines)
-    want = "<!-- PAGE_START: 1 -->\n\n### Head\n一 句 goes on.\n\nnext still\n\napart\n\n1. both\n\n- dot\n\n<!-- PAGE_START: 2 -->\nover the page\n\nunmarked\n"
-    assert (text, degraded) == (want, 0)
-
-
-def test_page_tables():
-    row = lambda *cells: line(" ".join(cells), "table", cells=[(i, c) for i, c in enumerate(cells) if c])
-    assert layout.render_table([row("a", "b", "c"), row("x", "", "y"), row("1", "2", "3"), row("4", "", "6")])[0] == "| ax | b | cy |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 4 |  | 6 |\n\n"
-    assert layout.render_table([row("a", "b"), row("1", "2")])[0] == "| a1 | b2 |\n| --- | --- |\n\n"  # half of two columns and one more are both
-    text, bad = layout.render_table([row("a", "", ""), row("", "", "z")])
-    assert bad and text.startswith("<!-- TABLE_DEGRADED: 空单元格超过40%，退化为纯文本 -->\na")
-    assert layout.render_table([row("a"), row("b")])[1]
-
-
-def test_words_of_a_line_and_list_numbers():
-    word = lambda text, left, right: layout.Word(text, left, right, 0.0, 12.0, False)
-    assert layout.joined([word("中a", 0, 20), word("b文", 60, 80), word("x", 84, 90), word("y", 100, 110)]) == "中ab文x y"
-    for text, number in (("12345678901. item", 1), ("2147483648. item", 1), ("2147483647. item", 2147483647), ("（１２）item", 1), ("7、 item", 7)):
-        found = line(text)
-        layout.classify(found, None)
-        assert (found.kind, found.number) == ("ordered", number)
+def test_words_of_a_line_and_list_numbers(spark):
+    words = [("中a", 0.0, 20.0), ("b文", 60.0, 80.0), ("x", 84.0, 90.0), ("y", 100.0, 110.0)]
+    rows = [(1, 1, 600.0, t, a, b, 700.0, 12.0, 12.0, "X") for t, a, b in words]
+    numbers = (("12345678901. item", 1), ("2147483648. item", 1), ("2147483647. item", 2147483647), ("（１２）item", 1), ("7、 item", 7))
+    rows += [(2, 1, 600.0, t, 10.0, 200.0, 700.0 - 40 * i, 12.0, 12.0, "X") for i, (t, _) in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, page_width double, text string, left double, right double, top double, height double, font_size double, font_name string")
+    got = [tuple(r) for r in page_text.page_lines(df).orderBy("doc_id", "line_no").select("text", "kind", "number").collect()]
+    assert got == [("中ab文x y", "body", -1), *[(t, "ordered", n) for t, n in numbers]]
 
 
 def test_documents_that_share_an_id(spark):
