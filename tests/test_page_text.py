@@ -85,7 +85,7 @@ def test_the_cases_of_the_rules(spark):
     three = [body("unmarked", 80.0)]
     _, texts = plans(frame(spark, {1: [(1, one), (2, two), (3, three)]}))
     got = "".join(r["piece"] for r in texts[1])
-    want = "<!-- PAGE_START: 1 -->\n\n### 第一章 Head一 句goes on. next\n\nstill\n\napart\n\n1. both\n\n- dot\n\n<!-- PAGE_START: 2 -->\nover the page\n\nunmarked\n"
+    want = "<!-- PAGE_START: 1 -->\n\n### 第一章 Head一 句goes on. next\nstill\n\napart\n\n1. both\n\n- dot\n\n<!-- PAGE_START: 2 -->\nover the page\n\nunmarked\n"
     assert M.re.sub(r"\n{3,}", "\n\n", got).strip() + "\n" == model([(1, one), (2, two), (3, three)])[1]
     assert M.re.sub(r"\n{3,}", "\n\n", got).strip() + "\n" == want
 
