@@ -11,8 +11,10 @@ adds runs of ``CANDIDATE`` characters that look drawn at random:
 * serial correlation of neighbouring characters' codes (Fisher's z);
 * a run passes if no test rejects randomness (Bonferroni at ``REJECT``).
 
-Ordinary text passes by chance more easily the shorter it is, so each run also gets the probability
-that ordinary text of its length changes class so often and repeats letters so rarely.  Those that
+Ordinary text passes by chance more easily the shorter it is, so each of the three statistics also gets its
+place in ordinary text of the run's length: so even (it repeats letters so rarely), so many changes of class, so
+little correlation.  The three are one probability (Stouffer, in proportion to what each tells), that of
+ordinary text looking as random by the battery.  Those that
 pass are discoveries if these probabilities, divided by weights in proportion to length, pass
 Benjamini-Hochberg at ``FDR`` over all candidates of the corpus.  The probabilities are rounded up to
 ``BINS`` a decade, so the procedure needs only a bounded histogram, whatever the input.
@@ -43,6 +45,10 @@ CHUNK = 128
 REJECT, FDR, BINS, LOWEST = 0.001, 0.01, 20, -6000
 #: Ordinary text: changes of class a character, and the chance that two letters are equal.
 USUAL_CHANGE, USUAL_REPEAT, USUAL_SPREAD = 0.05, 0.066, 0.35
+#: Ordinary text: mean and deviation of the size of the serial correlation, times the root of the length (a normal variable's size).
+USUAL_SERIAL, SERIAL_SPREAD = 0.798, 0.603
+#: What changes, evenness and correlation tell.
+TELLS = (2.0, 1.0, 0.25)
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -154,7 +160,8 @@ def battery(found: DataFrame) -> DataFrame:
     repeats = (F.col("squares") - n) / (n * (n - 1))
     z_change = (F.col("changes") - pairs * USUAL_CHANGE - 0.5) / F.sqrt(pairs * USUAL_CHANGE * (1 - USUAL_CHANGE))
     z_repeat = (USUAL_REPEAT - repeats) / (USUAL_SPREAD / F.sqrt(n * 10))
-    usual = upper_tail((2 * z_change + z_repeat) / math.sqrt(5))
+    z_flat = (USUAL_SERIAL - F.abs("serial") * F.sqrt(n)) / SERIAL_SPREAD
+    usual = upper_tail((TELLS[0] * z_change + TELLS[1] * z_repeat + TELLS[2] * z_flat) / math.hypot(*TELLS))
     return df.withColumn("passes", (least * 3 >= REJECT) & (z_change > 0)).withColumn("usual", usual)
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -94,6 +95,55 @@ def test_battery_tells_random_from_written(spark):
     assert sum(v > 0 for k, v in got.items() if k >= 1000) >= 57
 
 
+def tested(word):
+    """(length, passes, probability) of a run by the definitions of the three tests."""
+    tail = lambda z: 1.0 if z <= 0 else math.exp(-z * z / 2) / (math.sqrt(math.pi) * (z / math.sqrt(2) + math.sqrt(z * z / 2 + 4 / math.pi)))
+    body = word.rstrip("=")
+    n = len(body)
+    k = next((k for p, k in ((r"[0-9]+", 10), (r"[0-9a-f]+|[0-9A-F]+", 16), (r"[A-Z2-7]+", 32), (r"[a-z0-9]+|[A-Z0-9]+", 36), (r"[A-Za-z0-9]+", 62)) if re.fullmatch(p, body)), 64)
+    squares = sum(body.count(c) ** 2 for c in set(body))
+    chi, free = k / n * squares - n, k - 1
+    even = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    kind = lambda c: "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s"
+    changes = sum(kind(a) != kind(b) for a, b in zip(body, body[1:]))
+    parts = {10: (10,), 16: (10, 6), 32: (26, 6), 36: (26, 10), 62: (26, 26, 10), 64: (26, 26, 10, 2)}[k]
+    rate = 1 - sum((p / k) ** 2 for p in parts)
+    runs = abs(changes - (n - 1) * rate) / math.sqrt(max((n - 1) * rate * (1 - rate), 1e-9))
+    codes = [ord(c) for c in body]
+    mean = sum(codes) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / max(sum((a - mean) ** 2 for a in codes), 1e-9)
+    held = max(min(serial, 0.999), -0.999)
+    alike = abs(math.log((1 + held) / (1 - held)) / 2) * math.sqrt(n - 3)
+    least = min(tail(even), min(1, 2 * tail(runs)), min(1, 2 * tail(alike)))
+    z_change = (changes - (n - 1) * S.USUAL_CHANGE - 0.5) / math.sqrt((n - 1) * S.USUAL_CHANGE * (1 - S.USUAL_CHANGE))
+    z_repeat = (S.USUAL_REPEAT - (squares - n) / (n * (n - 1))) / (S.USUAL_SPREAD / math.sqrt(n * 10))
+    z_flat = (S.USUAL_SERIAL - abs(serial) * math.sqrt(n)) / S.SERIAL_SPREAD
+    z = sum(w * x for w, x in zip(S.TELLS, (z_change, z_repeat, z_flat))) / math.sqrt(sum(w * w for w in S.TELLS))
+    return n, least * 3 >= S.REJECT and z_change > 0, tail(z)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discoveries_are_those_of_sorted_probabilities(spark, seed):
+    """Spans of the random runs by sorting all candidates' probabilities, as Benjamini and Hochberg have it."""
+    rng = random.Random(seed)
+    letters = {"hex": "0123456789ABCDEF", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "b62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "low": "abcdefghij_", "odd": "aaaaB1"}
+    made = lambda: "".join(rng.choice(letters[k]) for k in [rng.choice(list(letters))] for _ in range(rng.randint(15, 45)))
+    texts = ["  ".join(made() if rng.random() < 0.6 else "a plain word" for _ in range(rng.randint(0, 6))) + rng.choice(["", "=", " ==", " é"]) for _ in range(150)]
+    found = [(i, m.start(), m.end(), *tested(m[0])) for i, t in enumerate(texts) for m in re.finditer(r"(?<![^\W_]|[+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![^\W_])", t)]
+    mean = sum(f[3] for f in found) / len(found)
+    up = lambda p: 10.0 ** (math.ceil(math.log10(max(p, 10.0 ** (S.LOWEST / S.BINS))) * S.BINS) / S.BINS)
+    passing = sorted((up(min(p * mean / n, 1.0)), i, a, b) for i, a, b, n, ok, p in found if ok)
+    good = [k for k, x in enumerate(passing, 1) if x[0] * len(found) <= S.FDR * k * (1 + 1e-12)]
+    limit = passing[good[-1] - 1][0] if good else -1.0
+    want = sorted((i, a, b) for p, i, a, b in passing if p <= limit)
+    assert 20 < len(want) < len(found)
+    base = {(i, *s) for i, t in enumerate(texts) for s in [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", t)]}
+    want = [w for w in want if not any(w[0] == i and w[1] < b and a < w[2] for i, a, b in base)]
+    got = S.digest(S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    spans = [(r["doc_id"], *map(int, x.split(":")[1:])) for r in got for x in r["spans"].split(",") if x.startswith("random")]
+    assert sorted(spans) == want
+
+
 def test_long_texts_take_linear_time(spark):
     """40,000 matches in one text, and runs beside them, within seconds; positions as in a plain scan."""
     text = "token=abcdef " * 20000 + "Zk3vX9qLw2Rt8Bn5Yc7Mp4Hd " + "\u00e9" + " secret: 0123456789" * 20000
