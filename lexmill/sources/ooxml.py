@@ -268,24 +268,29 @@ ROWS = 4096
 MARKS = {"elem_no": -1, "sheet_no": -1, "slide_no": -1}
 
 
+def file_rows(path: str, content: bytes, rows, mark: str) -> list[dict]:
+    """The rows of one file; if it can't be read whole only the file's row, with an error."""
+    facts = {"path": path, "source_size": len(content), "source_sha256": hashlib.sha256(content).hexdigest() if content else None}
+    try:
+        new, error = modern(path, content)
+        out = [{**r, "path": path} for r in rows(path, new)] if error is None else [{mark: -1, "kind": "file", "error": error}]
+    except Exception as e:  # noqa: BLE001  one file's failure is its own row
+        out = [{mark: -1, "kind": "file", "error": f"{type(e).__name__}: {e}"}]
+    for r in out:
+        if r[mark] == -1:
+            r.update(facts)
+    return out
+
+
 def extract(files: DataFrame, rows, schema: str) -> DataFrame:
-    """The rows of each file of ``files`` (path, content); of a file that can't be read whole only the file's row, with an error."""
+    """The rows of each file of ``files`` (path, content)."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     mark = next(c for c in MARKS if c in arrow.names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                content = held.as_py() or b""
-                facts = {"path": path, "source_size": len(content), "source_sha256": hashlib.sha256(content).hexdigest() if content else None}
-                try:
-                    new, error = modern(path, content)
-                    out = [{**r, "path": path} for r in rows(path, new)] if error is None else [{mark: -1, "kind": "file", "error": error}]
-                except Exception as e:  # noqa: BLE001  one file's failure is its own row
-                    out = [{mark: -1, "kind": "file", "error": f"{type(e).__name__}: {e}"}]
-                for r in out:
-                    if r[mark] == -1:
-                        r.update(facts)
+                out = file_rows(path, held.as_py() or b"", rows, mark)
                 for at in range(0, len(out), ROWS):
                     yield pa.RecordBatch.from_pylist(out[at : at + ROWS], schema=arrow)
 
