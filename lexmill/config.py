@@ -53,6 +53,61 @@ class Formatting:
             return None
 
 
+#: A profile's fields, and where the options have them (a name, or a name and a place).
+PROFILE_FIELDS: dict[str, tuple[str, int | None]] = {
+    "titleFont": ("title_font", None),
+    "headingFont": ("heading_fonts", 0),
+    "subheadingFont": ("heading_fonts", 1),
+    "bodyFont": ("body_font", None),
+    "codeBlockFont": ("code_font", None),
+    "titleFontSizePt": ("title_size", None),
+    "headingFontSizePt": ("heading_sizes", 0),
+    "subheadingFontSizePt": ("heading_sizes", 1),
+    "bodyFontSizePt": ("body_size", None),
+    "codeBlockFontSizePt": ("code_size", None),
+    "lineSpacingPt": ("line_spacing", None),
+    "firstLineIndentChars": ("first_indent", None),
+    "beforeSpacingPt": ("before_spacing", None),
+    "afterSpacingPt": ("after_spacing", None),
+    "pageMarginTopCm": ("margin_top", None),
+    "pageMarginBottomCm": ("margin_bottom", None),
+    "pageMarginLeftCm": ("margin_left", None),
+    "pageMarginRightCm": ("margin_right", None),
+}
+CUSTOM = "自定义"
+
+
+def extracted(options: Formatting) -> dict[str, str | float]:
+    """The fields of a profile, from options."""
+    return {k: getattr(options, name) if at is None else getattr(options, name)[at] for k, (name, at) in PROFILE_FIELDS.items()}
+
+
+def applied(profile: dict, options: Formatting) -> Formatting:
+    """``options`` with what a profile's fields say; other keys and nulls change nothing."""
+    for k, (name, at) in PROFILE_FIELDS.items():
+        if profile.get(k) is not None:
+            held = getattr(options, name)
+            kind = type(held if at is None else held[at])
+            value = kind(profile[k])
+            options = replace(options, **{name: value if at is None else (*held[:at], value, *held[at + 1 :])})
+    return options
+
+
+def profile_json(options: Formatting, name: str = CUSTOM) -> str:
+    return json.dumps({"name": name, "isBuiltIn": False, "options": extracted(options)}, ensure_ascii=False, indent=2)
+
+
+def load_profile(text: str | None) -> tuple[str, dict] | None:
+    """(name, fields) of a profile's JSON; None if it can't be read.  One without a name is a custom one."""
+    try:
+        held = json.loads(text or "")
+        name, options = held.get("name"), held.get("options") or {}
+        applied(options, Formatting())
+        return (name if isinstance(name, str) and name.strip() else CUSTOM), {k: options[k] for k in PROFILE_FIELDS if options.get(k) is not None}
+    except (ValueError, TypeError, AttributeError):
+        return None
+
+
 OFFICIAL = Formatting()
 ENTERPRISE = replace(
     OFFICIAL,

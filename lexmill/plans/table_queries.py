@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.config import Limits
 from lexmill.functions import text as T
-from lexmill.operators import batch, compliance, docx, layout, semantic, sheets, slides, word
+from lexmill.operators import batch, compliance, docx, layout, semantic, settings, sheets, slides, word
 from lexmill.plans.documents import process
 from lexmill.plans.registry import query, table
 from lexmill.plans.text_queries import BLOCKS, LINES, composed  # noqa: F401
@@ -324,3 +324,30 @@ def docx_reformat(spark, sf):
 def format_targets(spark, sf):
     _, paragraphs, _ = docx.extract_properties(docx.render(composed(spark, sf)))
     return compliance.target_format(paragraphs)
+
+
+# ---- settings files: one of each version for the customers --------------------------------------
+
+SETTINGS = """SELECT c_custkey, CASE CAST(c_custkey % 7 AS INT)
+    WHEN 0 THEN '{"OutputDirectory": "/out/' || c_mktsegment || '", "IncludeSubfolders": false, "PreserveStructure": ' || CASE WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'
+    WHEN 1 THEN '{"General": {"DefaultOutputDir": "' || c_mktsegment || '"}, "Conversion": {"MaxConcurrentTasks": ' || CAST(c_nationkey - 5 AS STRING) || ', "MaxScanFileCount": ' || CAST(c_nationkey - 12 AS STRING) || '}}'
+    WHEN 2 THEN '{"General": {"HasCompletedOnboarding": ' || CASE WHEN c_nationkey % 3 = 0 THEN 'true' ELSE 'false' END || ', "Language": "en"}, "Conversion": {"OutputPackageMode": "' || CASE WHEN c_nationkey % 2 = 0 THEN 'HybridPackage' ELSE 'Other' END || '"}, "More": 1}'
+    WHEN 3 THEN '{"General": ' || c_name WHEN 4 THEN '{"Conversion": {"MaxConcurrentTasks": "' || c_mktsegment || '"}}' WHEN 5 THEN '{}' ELSE '' END AS content FROM {}"""
+
+
+@query(
+    f"""WITH f AS (SELECT c_custkey, content, json_valid(content) AS good, CASE WHEN json_valid(content) THEN content ELSE '{{}}' END AS j FROM ({SETTINGS.replace('FROM {}', 'FROM customer')})),
+    g AS (SELECT *, NOT good OR coalesce(json_type(j, '$.Conversion.MaxConcurrentTasks') = 'VARCHAR', FALSE) AS corrupted, CASE WHEN json_exists(j, '$.OutputDirectory') THEN 0 WHEN json_exists(j, '$.General.HasCompletedOnboarding') THEN 2 ELSE 1 END AS v FROM f),
+    h AS (SELECT c_custkey, corrupted, CASE WHEN corrupted THEN 2 ELSE v END AS version, CASE WHEN corrupted THEN '{{}}' ELSE j END AS j FROM g)
+    SELECT c_custkey, corrupted, version, coalesce(j->>'$.OutputDirectory', j->>'$.General.DefaultOutputDir', '') AS output_dir, coalesce(CAST(j->>'$.IncludeSubfolders' AS BOOLEAN), TRUE) AS recursive_scan,
+    coalesce(CAST(j->>'$.PreserveStructure' AS BOOLEAN), TRUE) AS preserve_structure, greatest(coalesce(CAST(j->>'$.Conversion.MaxConcurrentTasks' AS INT), 2), 1) AS tasks,
+    CASE WHEN coalesce(CAST(j->>'$.Conversion.MaxScanFileCount' AS INT), 5000) < 1 THEN 5000 ELSE coalesce(CAST(j->>'$.Conversion.MaxScanFileCount' AS INT), 5000) END AS scans,
+    CASE WHEN j->>'$.Conversion.OutputPackageMode' = 'HybridPackage' THEN 'HybridPackage' ELSE 'SingleMd' END AS package_mode, coalesce(j->>'$.General.Language', 'zh-CN') AS language,
+    CASE version WHEN 1 THEN TRUE ELSE coalesce(CAST(j->>'$.General.HasCompletedOnboarding' AS BOOLEAN), FALSE) END AS introduced FROM h"""
+)
+def settings_migrated(spark, sf):
+    """Settings files of all versions, some broken, as settings of today."""
+    table(spark, sf, "customer").createOrReplaceTempView("lexmill_customer")
+    files = spark.sql(SETTINGS.replace("FROM {}", "FROM lexmill_customer")).withColumn("path", F.col("c_custkey"))
+    names = {"DefaultOutputDir": "output_dir", "RecursiveScan": "recursive_scan", "PreserveFolderStructure": "preserve_structure", "MaxConcurrentTasks": "tasks", "MaxScanFileCount": "scans", "OutputPackageMode": "package_mode", "Language": "language", "HasCompletedOnboarding": "introduced"}
+    return settings.migrated(files).select(F.col("path").alias("c_custkey"), "corrupted", "version", *[F.col(k).alias(v) for k, v in names.items()])
