@@ -36,19 +36,20 @@ def _folder(df: DataFrame) -> Column:
 def package_names(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``out_name``: the stem, or the stem and the first free number where others of its folder have it, whatever the case.
 
-    The first by path keeps the stem; a number that makes another document's stem is not free, nor is a name in ``held`` (folder, stem).
+    The first by path, else by its text's digest, keeps the stem; a number that makes another document's stem is not free, nor is a name in ``held`` (folder, stem).
     """
-    keyed = docs.withColumns({"_folder": _folder(docs), "_low": F.lower("stem"), "_held": F.lit(False)})
+    by = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
+    keyed = docs.withColumns({"_folder": _folder(docs), "_low": F.lower("stem"), "_held": F.lit(False), "_by": F.struct(by.isNull(), by, F.md5(F.col("markdown").cast("binary")))})
     if held is not None:
         keyed = keyed.unionByName(held.select(F.lower("folder").alias("_folder"), F.lower("stem").alias("_low"), F.lit(True).alias("_held")).distinct(), allowMissingColumns=True)
-    nth = F.row_number().over(Window.partitionBy("_folder", "_low").orderBy(F.col("_held").desc(), F.col("path").asc_nulls_last())) - 1
+    nth = F.row_number().over(Window.partitionBy("_folder", "_low").orderBy(F.col("_held").desc(), "_by")) - 1
     ends = keyed.select("_folder", "_low").distinct().where(F.col("_low").rlike(r"_[1-9][0-9]{0,8}\z"))
     taken = ends.select("_folder", F.regexp_extract("_low", r"^(?s:(.*))_[0-9]+\z", 1).alias("_low"), F.regexp_extract("_low", r"_([0-9]+)\z", 1).cast("int").alias("k"))
     taken = taken.groupBy("_folder", "_low").agg(F.sort_array(F.collect_set("k")).alias("_taken"))
     keyed = keyed.withColumn("_nth", nth).join(taken, ["_folder", "_low"], "left")
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     named = F.when(F.col("_nth") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", free.cast("string")))
-    return keyed.withColumn("out_name", named).where("not _held").drop("_folder", "_low", "_nth", "_taken", "_held")
+    return keyed.withColumn("out_name", named).where("not _held").drop("_folder", "_low", "_nth", "_taken", "_held", "_by")
 
 
 def _shared(docs: DataFrame, column: str, written: DataFrame | None) -> DataFrame:
@@ -65,7 +66,7 @@ def _shared(docs: DataFrame, column: str, written: DataFrame | None) -> DataFram
 def package_files(docs: DataFrame, mode: str = "SingleMd", written: DataFrame | None = None) -> DataFrame:
     """(path, data) of every file of the packages; no path comes twice.
 
-    ``written``: paths of files that stand there already, whose names are not free.  ``docs``: path (of the source), stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv), and
+    ``written``: paths of files that stand there already, whose names are not free.  ``docs``: path (of the source, if known), stem, markdown, meta_json, quality_json, assets (array of name, data), tables (array of name, csv), and
     perhaps folder, in which the package lies.  In single files' mode the documents of a folder share ``assets`` and ``tables``; one
     whose files there would have the names of another's has a folder of its own in them, and its links lead there.
     """
