@@ -15,8 +15,8 @@ In a band, a group of up to ``FEW`` documents is compared pair by pair; a larger
 for every fourth band, so rows are linear in a group's size.  Where that leaves a large group in more than one
 component, its members are searched exactly, by prefixes: with shingles in order of how many of these documents hold them, two
 sets at 0.8 share one of their rarest fifths.  Documents that share a rare one (``RARE`` at most) are paired, if what stands
-behind it in both sets suffices; for the others heads are drawn from a shingle's documents and compared with all of them,
-round after round, until its documents are one component or few pairs are left, which are all taken.  What a template has in common
+behind it in both sets suffices; for the others heads are drawn from a shingle's documents, after the first rounds outside their largest component, and
+compared with all of them, round after round, until its documents are one component or none is left to be drawn.  What a template has in common
 stands at the ends of the sets, so documents that share nothing else aren't compared.
 
 Edge cases: null text counts as empty; texts without a word share one shingle, so they are alike; fewer
@@ -41,8 +41,11 @@ from lexmill.llm.simhash import Bits, group_prints, shingle_hashes
 
 WORDS, SIMILARITY, DISTANCE = 5, 0.8, 2
 BANDS, ROWS, FEW, HEADS = 16, 4, 8, 4
-#: Documents of a rare shingle; heads of a frequent one's documents in a round; pairs that are taken at once when no more are left.
-RARE, DRAWN, ALL_PAIRS = 128, 32, 2_000_000
+#: Documents of a rare shingle; about so many heads of a frequent one's documents are drawn in a round; first rounds, in which a
+#: quarter of them comes from all its documents, so that most that are similar join the largest component early.
+RARE, DRAWN, MIXED = 128, 128, 2
+#: Hashes of one side's sets that are broadcast at most (16 MB), as counted.
+SENT = 2_000_000
 ALIKE = 36
 #: Shingles whose minima numpy takes at once, and texts whose results are held at once.
 BLOCK, TEXTS = 4096, 256
@@ -168,41 +171,47 @@ def _enough(left: Column, sizes: Column) -> Column:
 
 
 def prefix_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(a, b) of the entries (tok, n, size, at, root) of one shingle whose sets can be similar if it is their first common one; a written table."""
+    """(a, b), a of ``x``, of the entries (tok, n, size, at, root) of one shingle whose sets can be similar if it is their first common one; a written table."""
     both = x.select("tok", *[F.col(c).alias(f"x_{c}") for c in ("n", "size", "at", "root")]).join(y.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("n", "size", "at", "root")]), "tok")
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     can = (F.col("x_root") != F.col("y_root")) & _enough(left, F.col("x_size") + F.col("y_size"))
-    return _pairs(both.where(can).select("x_n", "y_n"))
+    return settle(both.where(can).select(F.col("x_n").alias("a"), F.col("y_n").alias("b")).distinct())
 
 
-def _moved(live: DataFrame, links: DataFrame) -> DataFrame:
-    """``live`` with the roots that new links give; links are few beside the components that they join."""
+def _moved(rows: DataFrame, live: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (root, ...) with the roots that new links between documents of ``live`` (n, root, ...) give."""
     if links.isEmpty():
-        return live
-    held = live.select("n", "root").distinct()
+        return rows
+    nodes = links.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    held = settle(live.select("n", "root").join(nodes, "n", "left_semi").distinct())
     side = lambda k: held.select(F.col("n").alias(k), F.col("root").alias(f"{k}_root"))
     edges = links.join(side("u"), "u").join(side("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
     moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return settle(live.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
+    return rows.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
 
 def prefix_links(entries: DataFrame, seen: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """The links that join components ``roots`` of the sets that ``entries`` are prefixes of, until no similar pair is apart."""
     live = settle(_rooted(entries, roots))
     rare = live.where(F.col("df") <= RARE)
-    found, turn = [similar(plausible(prefix_pairs(rare, rare), seen), sets)], 0
-    live = _moved(live, found[0]).where(F.col("df") > RARE)
+    found, turn = [similar(plausible(prefix_pairs(rare, rare).where("a < b"), seen), sets)], 0
+    live = _moved(live, live, found[0]).where(F.col("df") > RARE)
     while True:
-        lists = live.groupBy("tok").agg(F.min("size").alias("least"), (F.min("root") < F.max("root")).alias("apart")).where("apart").select("tok", "least")
+        roots_of = live.groupBy("tok", "root").agg(F.count("*").alias("c"), F.min("size").alias("least"))
+        lists = roots_of.groupBy("tok").agg(F.max_by("root", "c").alias("main"), F.sum("c").alias("c"), F.max("c").alias("in_main"), F.min("least").alias("least")).where("c > in_main")
         near = F.greatest("least", F.ceil(F.col("size") * SIMILARITY - 1e-9))
-        live = settle(live.join(lists, "tok").where(_enough(F.col("size") - F.col("at"), F.col("size") + near)).drop("least"))
-        pairs = live.groupBy("tok").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
-        if pairs <= ALL_PAIRS:  # nothing, or too little for rounds
-            return reduce(DataFrame.union, [*found, similar(plausible(prefix_pairs(live, live), seen), sets)] if pairs else found)
-        drawn = F.array_distinct(F.array(*[F.min_by("n", F.xxhash64("n", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]))
-        heads = settle(live.groupBy("tok").agg(drawn.alias("heads")).select("tok", F.explode("heads").alias("n")))
-        found.append(similar(plausible(prefix_pairs(live.join(heads, ["tok", "n"], "left_semi"), live), seen), sets))
-        live, turn = _moved(live, found[-1]).join(heads, ["tok", "n"], "left_anti"), turn + 1
+        entry = ["tok", "df", "n", "size", "at", "root"]
+        live = live.join(lists, "tok").where(_enough(F.col("size") - F.col("at"), F.col("size") + near))
+        live = settle(live.select(*entry, (F.col("root") != F.col("main")).alias("other"), "c", (F.col("c") - F.col("in_main")).alias("others")))
+        if live.isEmpty():
+            return reduce(DataFrame.union, found)
+        many = F.col("c") if turn < MIXED else F.col("others")
+        drawn = (F.pmod(F.xxhash64("n", F.lit(turn)), F.ceil(many / (DRAWN // 4 if turn < MIXED else DRAWN))) == 0) & (F.col("other") | F.lit(turn < MIXED))
+        heads = live.where(drawn).select(*entry)
+        with scratch(seen.sparkSession):
+            found.append(similar(plausible(prefix_pairs(heads, live.select(*entry)), seen), sets, outer=True))
+            left = live.where(~drawn).select(*entry)
+            live, turn = settle(_moved(left, live, found[-1]).select(*entry), outer=True), turn + 1
 
 
 def plausible(pairs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -214,12 +223,15 @@ def plausible(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return settle(both.where(sizes & (same >= ALIKE)).select("a", "b"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): the pairs (a, b) whose shingle sets are as similar as ``SIMILARITY``; a written table."""
-    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("n").alias("b"), F.col("s").alias("y")), "b")
+def similar(pairs: DataFrame, sets: DataFrame, outer: bool = False) -> DataFrame:
+    """(u, v): the pairs (a, b) whose shingle sets are as similar as ``SIMILARITY``; a written table (``outer``: of the block around)."""
+    first = sets.join(pairs.select(F.col("a").alias("n")).distinct(), "n", "left_semi")
+    few = (first.agg(F.sum(F.size("s"))).first()[0] or 0) <= SENT
+    first = first.select(F.col("n").alias("a"), F.col("s").alias("x"))
+    both = pairs.join(sets.select(F.col("n").alias("b"), F.col("s").alias("y")), "b").join(F.broadcast(first) if few else first, "a")
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return settle(both.where(common >= (small + large - common) * SIMILARITY).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return settle(both.where(common >= (small + large - common) * SIMILARITY).select(F.col("a").alias("u"), F.col("b").alias("v")), outer)
 
 
 def near_roots(rows: DataFrame) -> DataFrame:

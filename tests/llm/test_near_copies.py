@@ -79,9 +79,9 @@ def test_rows_that_share_an_id_are_rows_of_their_own(spark, tmp_path):
 
 
 def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
-    from lexmill.llm import common
+    from lexmill.sources import staging
 
-    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
     df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(20)], "doc_id long, text string")
     assert N.drop_near_copies(df).count() == 3
     assert len(list(tmp_path.glob("*/*"))) == 2  # the numbered rows and those that go
@@ -117,7 +117,6 @@ def test_frequent_shingles_in_prefixes_are_searched_in_rounds(spark, monkeypatch
     monkeypatch.setattr(N, "RARE", 1)
     monkeypatch.setattr(N, "DRAWN", 2)
     monkeypatch.setattr(N, "FEW", 2)
-    monkeypatch.setattr(N, "ALL_PAIRS", 100)
     rng = random.Random(13)
     passages = [" ".join(f"g{p}w{i}" for i in range(60)) for p in range(8)]
     texts = [" ".join(rng.choice(passages) for _ in range(rng.randint(2, 6))) + f" own{i} " + " ".join(f"o{i}n{j}" for j in range(rng.choice([0, 3, 20]))) for i in range(70)]
