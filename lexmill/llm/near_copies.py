@@ -206,7 +206,7 @@ def prefix_links(entries: DataFrame, seen: DataFrame, sets: DataFrame, roots: Da
         if live.isEmpty():
             return reduce(DataFrame.union, found)
         many = F.col("c") if turn < MIXED else F.col("others")
-        drawn = (F.pmod(F.xxhash64("n", F.lit(turn)), F.ceil(many / (DRAWN // 4 if turn < MIXED else DRAWN))) == 0) & (F.col("other") | F.lit(turn < MIXED))
+        drawn = (F.pmod(F.xxhash64("n", F.lit(turn)), F.ceil(many / (max(1, DRAWN // 4) if turn < MIXED else DRAWN))) == 0) & (F.col("other") | F.lit(turn < MIXED))
         heads = live.where(drawn).select(*entry)
         with scratch(seen.sparkSession):
             found.append(similar(plausible(prefix_pairs(heads, live.select(*entry)), seen), sets, outer=True))
