@@ -74,33 +74,33 @@ def check(sections: DataFrame, paragraphs: DataFrame, tables: DataFrame, options
         F.when(F.abs(F.col("grid_pitch") - pitch) > 20, _issue("F_DOC_GRID", "low", "line grid")),
     )
     found = [sections.select("doc_id", F.explode(F.filter(page, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")]
-    p = paragraphs.withColumn("nth", F.sum((~is_blank(F.col("text"))).cast("int")).over(Window.partitionBy("doc_id").orderBy("para_no"))).where(~is_blank(F.col("text")))
-    font, size = F.get("fonts", F.lit(0)), F.get("sizes", F.lit(0))
-    title = F.array(
-        F.when(font.isNull(), _issue("F_TITLE_FONT_MISSING", "medium", "title without a font")),
+    bad = lambda c, wrong: F.size(F.filter(F.coalesce(c, F.array()), wrong))
+    p = paragraphs.where(~is_blank(F.col("text"))).select(  # numbers only, so that texts aren't sorted
+        "doc_id", "para_no", F.struct(F.get("fonts", F.lit(0)).alias("font"), F.get("sizes", F.lit(0)).alias("size")).alias("lead"),
+        bad(F.col("fonts"), lambda f: f.isNotNull() & (f != o.body_font)).alias("fonts"), bad(F.col("sizes"), lambda s: s.isNotNull() & (F.abs(s - o.body_size) > 1)).alias("sizes"),
+        ((F.col("line_rule") == "exact") & (F.abs(F.col("line").try_cast("double") / 20 - o.line_spacing) > 1)).alias("lines"), (F.coalesce("first_indent", F.lit(0)) <= 0).alias("indents"),
+    )
+    p = p.withColumn("nth", F.count("*").over(Window.partitionBy("doc_id").orderBy("para_no")))
+    early, later = F.col("nth").between(2, 21), F.col("nth") > 1
+    facts = p.groupBy("doc_id").agg(
+        F.first(F.when(F.col("nth") == 1, F.col("lead")), ignorenulls=True).alias("title"), F.sum(F.when(early, F.col("fonts"))).alias("fonts"), F.sum(F.when(early, F.col("sizes"))).alias("sizes"),
+        F.count_if(later & F.col("lines")).alias("lines"), F.count_if(later & F.col("indents")).alias("indents"),
+    )
+    font, size = F.col("title.font"), F.col("title.size")
+    each = F.array(
+        F.when(F.col("title").isNotNull() & font.isNull(), _issue("F_TITLE_FONT_MISSING", "medium", "title without a font")),
         F.when(font != o.title_font, _issue("F_TITLE_FONT", "medium", f"title font is not {o.title_font}")),
         F.when(F.abs(size - o.title_size) > 1, _issue("F_TITLE_SIZE", "low", f"title size is not {o.title_size}")),
+        F.when(F.col("fonts") > 3, _issue("F_BODY_FONT", "medium", f"body font is not {o.body_font}")),
+        F.when(F.col("sizes") > 3, _issue("F_BODY_SIZE", "low", f"body size is not {o.body_size}")),
+        F.when(F.col("lines") > 3, _issue("F_LINE_SPACING", "low", f"line spacing is not {o.line_spacing}")),
+        F.when(F.col("indents") > 5, _issue("F_FIRST_INDENT", "low", "no first-line indent")),
     )
-    found.append(p.where("nth = 1").select("doc_id", F.explode(F.filter(title, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*"))
-    bad = lambda c, wrong: F.sum(F.size(F.filter(F.coalesce(c, F.array()), wrong)))
-    body = p.where("nth between 2 and 21").groupBy("doc_id").agg(
-        bad(F.col("fonts"), lambda f: f.isNotNull() & (f != o.body_font)).alias("fonts"), bad(F.col("sizes"), lambda s: s.isNotNull() & (F.abs(s - o.body_size) > 1)).alias("sizes")
-    )
-    whole = p.where("nth > 1").groupBy("doc_id").agg(
-        F.count_if((F.col("line_rule") == "exact") & (F.abs(F.col("line").try_cast("double") / 20 - o.line_spacing) > 1)).alias("lines"),
-        F.count_if(F.coalesce("first_indent", F.lit(0)) <= 0).alias("indents"),
-    )
-    for table, column, most, issue in (
-        (body, "fonts", 3, _issue("F_BODY_FONT", "medium", f"body font is not {o.body_font}")),
-        (body, "sizes", 3, _issue("F_BODY_SIZE", "low", f"body size is not {o.body_size}")),
-        (whole, "lines", 3, _issue("F_LINE_SPACING", "low", f"line spacing is not {o.line_spacing}")),
-        (whole, "indents", 5, _issue("F_FIRST_INDENT", "low", "no first-line indent")),
-    ):
-        found.append(table.where(F.col(column) > most).select("doc_id", issue.alias("x")).select("doc_id", "x.*"))
+    found.append(facts.select("doc_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*"))
     usable = sections.select("doc_id", (F.col("width") - F.col("left") - F.col("right")).alias("usable"))
     wide = tables.join(usable, "doc_id").where(F.col("cells") * 600 > F.col("usable"))
     found.append(wide.select("doc_id", _issue("F_TABLE_WIDTH", "low", "table too wide").alias("x")).select("doc_id", "x.*"))
-    empty = sections.select("doc_id").distinct().join(p.select("doc_id").distinct(), "doc_id", "left_anti")
+    empty = sections.select("doc_id").distinct().join(facts.select("doc_id"), "doc_id", "left_anti")
     found.append(empty.select("doc_id", _issue("F_EMPTY_DOCUMENT", "high", "empty document").alias("x")).select("doc_id", "x.*"))
     return reduce(DataFrame.unionByName, found)
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import is_blank, trimmed
+from lexmill.functions.text import trimmed
 from lexmill.operators.blocks import lines
 
 HEADING, BULLET, NUMBERED, QUOTE = r"^(#{1,6})\s+(.+)", r"^(\s*)([-*+])\s+(.+)", r"^(\s*)(\d+)\.\s+(.+)", r"^>\s*(.*)"
@@ -20,29 +20,35 @@ RULE, SEPARATOR = r"^(-{3,}|\*{3,}|_{3,})$", r"^\|[\s\-:|]+\|$"
 RUNS_OF = ("table", "paragraph", "bullet", "numbered", "quote")
 
 
-def line_kind(line: Column) -> Column:
-    t = trimmed(line)
-    out = F.when(is_blank(line), F.lit("blank")).when(t.startswith("<!--"), F.lit("comment")).when(line.rlike(HEADING), F.lit("heading"))
+def edge_trimmed(line: Column) -> Column:
+    """``trimmed`` of a plain column: a line whose first and last characters show isn't searched for blanks."""
+    edges = F.concat(F.substring(line, 1, 1), F.substring(line, -1, 1))
+    return F.when(edges.rlike(r"(?U)\s"), trimmed(line)).otherwise(line)
+
+
+def line_kind(line: Column, t: Column | None = None) -> Column:
+    """The kind of a line; ``t`` is the line trimmed, if it is at hand."""
+    t = trimmed(line) if t is None else t
+    out = F.when(t == "", F.lit("blank")).when(t.startswith("<!--"), F.lit("comment")).when(line.rlike(HEADING), F.lit("heading"))
     out = out.when(t.startswith("|"), F.lit("table")).when(line.rlike(BULLET), F.lit("bullet")).when(line.rlike(NUMBERED), F.lit("numbered"))
     return out.when(t.rlike(RULE), F.lit("rule")).when(t.rlike(QUOTE), F.lit("quote")).otherwise(F.lit("paragraph"))
 
 
 def body_lines(df: DataFrame, md: str = "md", key: str = "doc_id") -> DataFrame:
     """``lines`` without the front matter and with comments of several lines marked as such."""
-    rows = lines(df, md, key)
+    rows = lines(df, md, key).withColumn("_t", edge_trimmed(F.col("line")))  # once for all that follows
     whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("line_no")
-    t = trimmed(F.col("line"))
-    opens = F.max(F.when((F.col("line_no") == 0) & (t == "---"), 1).otherwise(0)).over(whole) == 1
-    close = F.min(F.when((F.col("line_no") > 0) & (t == "---"), F.col("line_no"))).over(whole)
-    rows = rows.withColumn("_skip", opens & (F.col("line_no") <= F.coalesce(close, F.lit(1 << 30)))).where("not _skip").drop("_skip")
     # a comment that opens without closing on its line runs to the first line that has the end mark
-    opened = t.startswith("<!--") & ~t.endswith("-->")
-    rows = rows.withColumn("_t", t).withColumn("_open", opened).withColumn("_end", F.col("line").contains("-->"))
-    state = F.last(F.when(F.col("_open"), F.lit(True)).when(F.col("_end"), F.lit(False)), ignorenulls=True)
-    before = state.over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_in", F.coalesce(before, F.lit(False)))
-    kind = F.when(F.col("_in"), F.lit("comment")).otherwise(line_kind(F.col("line")))
-    return rows.withColumn("kind", kind).drop("_t", "_open", "_end", "_in")
+    opened = F.col("_t").startswith("<!--") & ~F.col("_t").endswith("-->")
+    rows = rows.select(
+        key, "line_no", "line", (F.col("_t") == "---").alias("_dashes"), line_kind(F.col("line"), F.col("_t")).alias("kind"),
+        F.when(opened, F.lit(True)).when(F.col("line").contains("-->"), F.lit(False)).alias("_opens"),
+    )
+    opens = F.max(F.when((F.col("line_no") == 0) & F.col("_dashes"), 1).otherwise(0)).over(whole) == 1
+    close = F.min(F.when((F.col("line_no") > 0) & F.col("_dashes"), F.col("line_no"))).over(whole)
+    rows = rows.withColumn("_skip", opens & (F.col("line_no") <= F.coalesce(close, F.lit(1 << 30)))).where("not _skip").drop("_skip", "_dashes")
+    before = F.last("_opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("kind", F.when(F.coalesce(before, F.lit(False)), F.lit("comment")).otherwise(F.col("kind"))).drop("_opens")
 
 
 def numbered(df: DataFrame, md: str = "md", key: str = "doc_id") -> DataFrame:
