@@ -74,6 +74,22 @@ def test_more_ruling_lines_allow_wider_gaps(spark):
     assert {(r["doc_id"], r["kind"]) for r in got} == {(1, "body"), (2, "table"), (3, "body")}
 
 
+def test_equal_words_stay_together_in_any_order_of_rows(spark):
+    """Up to eight equal words after a gap: one order of them serves gaps, clusters, blanks and cells, so none is parted from the others."""
+    rng = random.Random(7)
+    page = [(t, x, x + 20.0, 700.0 - 12.0 * k, 12.0, 12.0) for k in range(12) for x in (50.0, 200.0, 350.0) for t in ("AO7", "RF3") for _ in range(rng.randint(1, 8))]
+    want = M.page(model_words(page), 0)
+    for partitions in (1, 7):
+        rng.shuffle(page)
+        df = layout.font_facts(spark.createDataFrame([(1, 1, *w, "X", 0) for w in page], SCHEMA).repartition(partitions))
+        got = P.page_lines(df).orderBy("line_no").collect()
+        assert [(r["text"], r["kind"], [tuple(c) for c in r["cells"]]) for r in got if r["cells"] is not None] == [(x["text"], x["kind"], x["cells"]) for x in want[0] if x["cells"] is not None]
+        cells = layout.cell_gaps(df, ["doc_id", "page", "top"]).orderBy("top", "cluster").collect()
+        left = {(t, x): [w for w in page if w[3] == t and w[1] == x] for t in {w[3] for w in page} for x in (50.0, 200.0, 350.0)}
+        assert [(r["top"], r["left"], r["text"]) for r in cells] == [(t, x, "".join(sorted(w[0] for w in left[t, x]))) for t, x in sorted(left)]
+    assert any(x["cells"] for x in want[0])
+
+
 def test_odd_words(spark):
     rows = [(1, 1, None, 1.0, 2.0, 3.0, 1.0, 12.0, "X", 0), (1, 1, "x", None, 2.0, 3.0, 1.0, 12.0, "X", 0), (1, 1, "y", 1.0, 9.0, None, 1.0, 12.0, "X", 0), (1, 2, "z", 1.0, 1.0, 3.0, None, None, None, 0)]
     got = P.page_lines(layout.font_facts(spark.createDataFrame(rows, SCHEMA))).collect()
