@@ -84,6 +84,8 @@ def test_equal_words_stay_together_in_any_order_of_rows(spark):
         df = layout.font_facts(spark.createDataFrame([(1, 1, *w, "X", 0) for w in page], SCHEMA).repartition(partitions))
         got = P.page_lines(df).orderBy("line_no").collect()
         assert [(r["text"], r["kind"], [tuple(c) for c in r["cells"]]) for r in got if r["cells"] is not None] == [(x["text"], x["kind"], x["cells"]) for x in want[0] if x["cells"] is not None]
+        lines = P.text_lines(P.numbered_words(df)).orderBy("line_no").collect()
+        assert [r["text"] for r in lines] == [M.joined(r) for r in M.rows_by_anchor(model_words(page), 7.2)]
         cells = layout.cell_gaps(df, ["doc_id", "page", "top"]).orderBy("top", "cluster").collect()
         left = {(t, x): [w for w in page if w[3] == t and w[1] == x] for t in {w[3] for w in page} for x in (50.0, 200.0, 350.0)}
         assert [(r["top"], r["left"], r["text"]) for r in cells] == [(t, x, "".join(sorted(w[0] for w in left[t, x]))) for t, x in sorted(left)]
